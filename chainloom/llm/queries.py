@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from chainloom.llm.decontaminate import op8_benchmark_decontamination
+from chainloom.llm.simhash import op4_simhash
 from chainloom.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
