@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from chainloom.llm.decontaminate import op8_benchmark_decontamination
+from chainloom.llm.mixing import op2_mix_sources
 from chainloom.llm.simhash import op4_simhash
 from chainloom.llm.substring_dedup import op10_substring_dedup
+from chainloom.llm.token_output import op1_token_output
 
 QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_mix_sources": op2_mix_sources,
     "op4_simhash": op4_simhash,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
