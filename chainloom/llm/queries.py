@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chainloom.llm.decontaminate import op8_benchmark_decontamination
 from chainloom.llm.language import op9_language
+from chainloom.llm.lm_score import op3_lm_score
 from chainloom.llm.mixing import op2_mix_sources
 from chainloom.llm.quality import op7_quality
 from chainloom.llm.simhash import op4_simhash
@@ -14,6 +15,7 @@ from chainloom.llm.url_filter import OP6_SQL, op6_url_filters
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mix_sources": op2_mix_sources,
+    "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
     "op6_url_filters": op6_url_filters,
     "op7_quality": op7_quality,
