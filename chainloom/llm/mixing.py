@@ -122,7 +122,7 @@ def _rounded(bins: str, limit: float):
     return F.aggregate(F.col(bins), start, step, lambda acc: acc["out"])
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0, carry_source: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken) for every document.
 
     Null texts and texts of no words have size 0 and are taken 0 words; a null source is a
@@ -154,8 +154,30 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     chosen = ranked.join(before, ["key", "size", "part"]).withColumn("one_more", (F.col("before") + F.col("k") < F.col("copies") % F.col("n")).cast("bigint"))
     taken = chosen.select("key", "doc_id", "size", "rate", (F.floor(F.col("copies") / F.col("n")) + F.col("one_more")).alias("copies"))
     every = taken.unionByName(dealt.where("size = 0").select("key", "doc_id", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies")))
-    facts = targets.select("key", "source_size", "target")
-    return every.join(facts, "key").select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    facts = targets.select("key", "source", "source_size", "target")
+    return every.join(facts, "key").select("doc_id", *["source"] * carry_source, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0) -> DataFrame:
+    """The documents as the mix takes them: each row as often as its copies say, rows of none go.
+
+    Rows are told apart by (doc_id, source, size); several that agree in these are matched
+    with their copies in turn.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = dict(zip(docs.columns, plain.columns))
+    sized = plain.withColumn("size", word_count(at[text]))
+    same = [at[doc_id], at[source], "size"]
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(at[text])))
+    mixed = mix(docs, doc_id, text, source, limit, carry_source=True).where("copies > 0")
+    mixed = mixed.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "size", "copies")])
+    mixed = mixed.withColumn("m_turn", F.row_number().over(Window.partitionBy("m_doc_id", "m_source", "m_size").orderBy(F.desc("m_copies"))))
+    numbered = sized.withColumn("turn", turn)
+    match = (
+        F.col(at[doc_id]).eqNullSafe(F.col("m_doc_id")) & F.col(at[source]).eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("turn") == F.col("m_turn"))
+    )
+    taken = numbered.join(mixed, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m_copies"))))
+    return taken.select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
