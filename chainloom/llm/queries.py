@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chainloom.llm.decontaminate import op8_benchmark_decontamination
+from chainloom.llm.embedding_dedup import op5_embedding_dedup
 from chainloom.llm.language import op9_language
 from chainloom.llm.lm_score import op3_lm_score
 from chainloom.llm.mixing import op2_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_quality": op7_quality,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
