@@ -3,7 +3,8 @@
 Format: a table of Parquet files, sorted by (part, block).  A row is a block of documents:
 their ids (``doc_ids``) and numbers of tokens (``lengths``), ``start`` (tokens of the same
 part before the block), and two byte strings.  ``control`` has two bits a token, four
-tokens a byte, lowest bits first: the number of bytes of the token's rank, less one.
+tokens a byte, lowest bits first: the number of bytes of the token's rank, less one; each
+document begins with a new byte.
 ``data`` has the ranks' bytes, little-endian.  Rank 0 is the most frequent token of the
 whole corpus, so common tokens take one byte.  ``ranks`` (id by rank, little-endian
 32-bit) and the tokens of each part are in a table beside it.  Decoding is by numpy table
@@ -19,35 +20,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.shared import shared_path, slices
+from chainloom.llm.shared import ranges, shared_path, slices
 
 #: Bytes of a part of the output, and tokens in a block (a longer document is a block by itself).
 PART_BYTES = 32 << 20
 BLOCK_TOKENS = 1 << 16
-#: Words whose tokens a Python worker remembers, and words that it encodes in one call.
-REMEMBERED, AT_ONCE = 400_000, 2000
+#: Words whose tokens a Python worker remembers, at most.
+REMEMBERED = 1_000_000
 #: Ids of a vocabulary at most; the rank table is broadcast.
 VOCABULARY = 1 << 20
 
 
+#: The pre-tokenizer's own pattern, and its visible sign for each byte: fixed values of byte-level BPE files.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: b if b in _VISIBLE else 256 + i for b, i in zip(range(256), np.cumsum([0] + [b not in _VISIBLE for b in range(255)]).tolist())}
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file whose pre-tokenizer never joins words across a single space.
+    """Encodes texts with a tokenizers file.
 
-    For byte-level BPE of that kind a text's ids are those of its space-led words in turn
-    wherever no space stands beside other white space, so each distinct word is encoded
-    once and then remembered.  Other texts are encoded whole.
+    For byte-level BPE a text's ids are those of its space-led words in turn wherever no
+    space stands beside other white space.  So each distinct word is split and given to
+    the file's model once, and then remembered; of words not seen lately the older half
+    is forgotten.  Other texts, and those with added tokens in them, are encoded whole.
     """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype(kind)
-        n = self.tokenizer.get_vocab_size()
-        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile(SPLIT)
         self.by_word = self._splits()
 
     def _splits(self) -> bool:
@@ -69,26 +79,45 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        for begin in range(0, len(words), AT_ONCE):
-            some = words[begin : begin + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum(self.sizes[ids])
-            cuts = np.concatenate([[0], np.searchsorted(ends, np.cumsum([1 + len(w.encode()) for w in some])) + 1]) * self.dtype.itemsize
-            data = ids.astype(self.dtype).tobytes()
-            self.words.update((w, data[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()))
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the space before it."""
+        if word.isalpha():
+            parts = [" " + word]
+        else:
+            parts = self.split.findall(" " + word)
+        size, order, ids = self.dtype.itemsize, "little", []
+        for part in parts:
+            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]
+        return b"".join([i.to_bytes(size, order) for i in ids])
+
+    def _learn(self, every: list[str], found: list[bytes | None]) -> None:
+        """Fill in what ``found`` lacks; words that touch other white space stay out."""
+        if len(self.words) > REMEMBERED // 2:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        for i, x in enumerate(found):
+            if x is None:
+                w = every[i]
+                x = words.get(w)
+                if x is None:
+                    x = older.get(w)
+                    if x is None:
+                        if not w or w != w.strip():
+                            continue
+                        x = self._word(w)
+                    words[w] = x
+                found[i] = x
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         split = [[] if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        every = [w for parts in split for w in parts[1:]]
+        every: list[str] = []
+        for parts in split:
+            every += parts[1:]
         found = list(map(self.words.get, every))
         if None in found:
-            self._learn([w for w in {w for w, x in zip(every, found) if x is None} if w and w == w.strip()])
-            found = list(map(self.words.get, every))
+            self._learn(every, found)
         out: list[bytes | None] = []
         firsts: list[str] = []
         at = 0
@@ -150,10 +179,13 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), wide[np.arange(4) < size[:, None]].tobytes()
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks of (control, data), by table lookup."""
-    size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    wide = np.zeros((n, 4), dtype=np.uint8)
+def unpack(control: bytes, data: bytes, counts) -> np.ndarray:
+    """The ranks of texts packed one after another, of ``counts`` tokens each, by table lookup."""
+    counts = np.atleast_1d(np.asarray(counts, dtype=np.int64))
+    size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
+    filled = -(-counts // 4) * 4
+    size = size[ranges(np.cumsum(filled) - filled, counts)]  # without the last byte's unused places of each text
+    wide = np.zeros((len(size), 4), dtype=np.uint8)
     wide[np.arange(4) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
     return wide.view("<u4").reshape(-1)
 
@@ -221,8 +253,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
 
         def flush():
             nonlocal rows, tokens, at, number
-            r = np.concatenate([unpack(c, d, n) for _, n, c, d in rows])
-            control, data = pack(r)
+            control, data = b"".join([x[2] for x in rows]), b"".join([x[3] for x in rows])
             made = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -269,7 +300,7 @@ def read_tokens(spark, path: str) -> DataFrame:
         for batch in batches:
             for part, start, docs, lengths, control, data in zip(*(batch[k].to_pylist() for k in ("part", "start", "doc_ids", "lengths", "control", "data"))):
                 ends = np.cumsum(lengths)
-                ids = ids_of[unpack(control, data, int(ends[-1]))]
+                ids = ids_of[unpack(control, data, lengths)]
                 begins = ends - lengths
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, pa.int64()), pa.array(begins + start + before[part]), pa.array(lengths, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())],
