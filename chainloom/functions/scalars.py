@@ -44,7 +44,7 @@ def _wide(digits: Column) -> Column:
     padded = F.lpad(digits, 30, "0")
     part = lambda start: F.conv(F.substr(padded, F.lit(start), F.lit(10)), 16, 10).cast("decimal(13,0)")
     scale = 1 << 40
-    return (part(1) * F.lit(scale * scale).cast("decimal(25,0)")).cast("decimal(38,0)") + (part(11) * F.lit(scale).cast("decimal(13,0)")).cast("decimal(38,0)") + part(21).cast("decimal(38,0)")
+    return (part(1) * F.lit(str(scale * scale)).cast("decimal(25,0)")).cast("decimal(38,0)") + (part(11) * F.lit(scale).cast("decimal(13,0)")).cast("decimal(38,0)") + part(21).cast("decimal(38,0)")
 
 
 def clean_address(s) -> Column:

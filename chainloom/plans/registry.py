@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainloom.config import TEST_CHAIN
 from chainloom.functions import scalars as S
-from chainloom.operators import continuity, fold, ledger, reads, reorg, verify
+from chainloom.operators import continuity, fold, ledger, parse_evm, parse_other, reads, reorg, verify
 from chainloom.sources import derived
 from chainloom.sources.derived import table
 
@@ -427,3 +427,226 @@ def s17_s19_heights(spark, d):
 @query("SELECT o_orderkey, lower(replace(o_orderpriority, ' ', '_')) AS client FROM orders", plain=True)
 def q18_client_id(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.client_id(F.concat(F.lit(" "), "o_orderpriority", F.lit(": x "))).alias("client"))
+
+
+# ------------------------------------------------------------------- payloads
+
+
+def _hex(c):
+    return F.concat(F.lit("0x"), F.lower(F.hex(c)))
+
+
+def _md5(*parts):
+    return F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]))
+
+
+def evm_raw(spark, d) -> DataFrame:
+    """Raw EVM blocks: an order is a block, its lines are transactions."""
+    line = table(spark, d, "lineitem").select(
+        "l_orderkey",
+        F.struct(
+            F.concat(F.lit("0x"), _md5(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))).alias("hash"),
+            F.concat(F.lit("0xA"), F.col("l_partkey").cast("string")).alias("from"),
+            F.concat(F.lit("0xB"), F.col("l_suppkey").cast("string")).alias("to"),
+            _hex(F.col("l_linenumber")).alias("transactionIndex"),
+            _hex(F.col("l_partkey")).alias("nonce"),
+            _hex(F.lit(21000) + F.col("l_partkey")).alias("gas"),
+            _hex(F.lit(100) + F.col("l_suppkey")).alias("gasPrice"),
+            F.when(F.col("l_linenumber") % 2 == 0, _hex(F.lit(90) + F.col("l_suppkey"))).alias("maxFeePerGas"),
+            F.when(F.col("l_linenumber") % 2 == 0, _hex(F.col("l_partkey") % 9)).alias("maxPriorityFeePerGas"),
+            F.when(F.col("l_linenumber") % 2 == 0, "0x2").alias("type"),
+            F.concat(_hex(F.round(F.col("l_extendedprice") * 100).cast("bigint")), F.lit("0000000000")).alias("value"),
+        ).alias("t"),
+    )
+    txs = line.groupBy("l_orderkey").agg(F.collect_list("t").alias("transactions"))
+    o = table(spark, d, "orders")
+    header = F.struct(
+        _hex(F.col("o_orderkey")).alias("number"),
+        F.when(F.col("o_orderkey") % 100 != 3, F.concat(F.lit("0x"), F.upper(_md5(F.col("o_orderkey"))))).alias("hash"),
+        F.lit("0xP").alias("parentHash"),
+        _hex(F.unix_timestamp("o_orderdate")).alias("timestamp"),
+        _hex(F.lit(30000000) + F.col("o_custkey")).alias("gasLimit"),
+        F.when(F.col("o_orderkey") % 3 != 0, _hex(F.col("o_custkey") % 50)).alias("baseFeePerGas"),
+        "transactions",
+    )
+    return o.join(txs, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(header).alias("header"))
+
+
+_EVM_TX = """SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 50 END AS base, o_orderkey AS number FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+@query(
+    "SELECT o_orderkey, o_orderkey AS number, CASE WHEN o_orderkey % 100 <> 3 THEN '0x' || md5(CAST(o_orderkey AS VARCHAR)) END AS hash, date_trunc('second', o_orderdate) AS block_ts, 30000000 + o_custkey AS gas_limit, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 50 END AS base_fee, CASE WHEN o_orderkey % 100 = 3 THEN 'header lacks hash' END AS parse_error FROM orders",
+    plain=True,
+)
+def x2_evm_headers(spark, d):
+    return parse_evm.parse_headers(evm_raw(spark, d)).select("o_orderkey", "number", "hash", "block_ts", "gas_limit", "base_fee", "parse_error")
+
+
+@query(
+    f"SELECT number, '0x' || md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS tx_hash, '0xa' || l_partkey AS from_address, '0xb' || l_suppkey AS to_address, l_partkey AS nonce, 21000 + l_partkey AS gas, 100 + l_suppkey AS gas_price, CAST(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS HUGEINT) * 1099511627776 AS VARCHAR) AS value, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 0 END AS type, CASE WHEN base IS NULL THEN NULL WHEN l_linenumber % 2 = 0 THEN least(90 + l_suppkey - base, l_partkey % 9) ELSE 100 + l_suppkey - base END AS priority_fee FROM ({_EVM_TX})",
+    plain=True,
+)
+def x3_evm_transactions(spark, d):
+    t = parse_evm.transactions(parse_evm.parse_headers(evm_raw(spark, d)))
+    return t.select("number", "tx_hash", "from_address", "to_address", "nonce", "gas", "gas_price", F.col("value").cast("string").alias("value"), "type", "priority_fee")
+
+
+def evm_receipts(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    pad = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 64, "0"))
+    topics = F.array(F.lit(parse_evm.TRANSFER), pad(F.col("l_partkey")), pad(F.col("l_suppkey")))
+    long_topics = F.concat(topics, F.array(F.when(F.col("l_linenumber") == 4, F.lit("0xzz")).otherwise(pad(F.col("l_orderkey")))))
+    n = F.col("l_linenumber") % 4
+    log = F.struct(
+        F.lit("0xTOKEN").alias("address"),
+        F.when(n == 2, F.concat(F.lit("0x1"), F.repeat(F.lit("0"), F.lit(64)))).otherwise(pad(F.col("l_orderkey") + 7)).alias("data"),
+        _hex(F.col("l_linenumber")).alias("logIndex"),
+        F.when(n == 0, long_topics).when(n == 3, F.slice(topics, 1, 2)).otherwise(topics).alias("topics"),
+    )
+    receipt = F.struct(
+        F.concat(F.lit("0x"), _md5(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))).alias("transactionHash"),
+        _hex(F.lit(21000) + F.col("l_suppkey")).alias("gasUsed"),
+        F.when(F.col("l_returnflag") == "R", "0x0").when(F.col("l_returnflag") == "A", "0x1").alias("status"),
+        F.when(F.col("l_returnflag") == "N", "0xroot").alias("root"),
+        F.when(F.col("l_linestatus") == "O", _hex(F.col("l_partkey"))).alias("effectiveGasPrice"),
+        F.array(log).alias("logs"),
+    )
+    return line.select(F.to_json(receipt).alias("receipt"))
+
+
+@query("SELECT '0x' || md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS tx_hash, 21000 + l_suppkey AS gas_used, CASE l_returnflag WHEN 'R' THEN FALSE WHEN 'A' THEN TRUE END AS succeeded, CASE WHEN l_linestatus = 'O' THEN l_partkey END AS effective_gas_price FROM lineitem", plain=True)
+def x4_evm_receipts(spark, d):
+    return parse_evm.receipts(evm_receipts(spark, d)).select("tx_hash", "gas_used", "succeeded", "effective_gas_price")
+
+
+@query(
+    "SELECT '0x' || md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS tx_hash, l_linenumber AS log_index, '0xtoken' AS token, '0x' || right(repeat('0', 40) || lower(to_hex(l_partkey)), 40) AS from_address, '0x' || right(repeat('0', 40) || lower(to_hex(l_suppkey)), 40) AS to_address, CASE WHEN l_linenumber % 4 = 0 THEN 'ERC721' ELSE 'ERC20' END AS standard, right(repeat('0', 64) || lower(to_hex(CASE WHEN l_linenumber % 4 = 0 THEN l_orderkey ELSE l_orderkey + 7 END)), 64) AS value_hex FROM lineitem WHERE l_linenumber % 4 = 1 OR (l_linenumber % 4 = 0 AND l_linenumber <> 4)",
+    plain=True,
+)
+def x10_token_transfers(spark, d):
+    return parse_evm.token_transfers(parse_evm.receipts(evm_receipts(spark, d)))
+
+
+_TRACE = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS k, l_partkey, l_suppkey, l_linenumber, l_returnflag = 'R' AS bad FROM lineitem"
+
+
+@query(
+    f"SELECT md5(k) AS tx_hash, position, address AS trace_address, type, trace_type, CAST(v AS VARCHAR) AS value, subtraces, CASE WHEN bad AND position > 0 THEN 'reverted' END AS error, lower(trace_type) || '_' || md5(k) || CASE WHEN address = '' THEN '' ELSE '_' || replace(address, ',', '_') END AS trace_id FROM (SELECT k, bad, unnest([0, 1, 2, 3]) AS position, unnest(['', '0', '0,0', '1']) AS address, unnest(['CALL', 'DELEGATECALL', 'CREATE', 'STATICCALL']) AS type, unnest(['CALL', 'CALL', 'CREATE', 'CALL']) AS trace_type, unnest([l_partkey, 0, l_suppkey, 0]) AS v, unnest([2, 1, 0, 0]) AS subtraces FROM ({_TRACE})) ",
+    plain=True,
+)
+def x6_flat_traces(spark, d):
+    line = table(spark, d, "lineitem")
+    bad = F.col("l_returnflag") == "R"
+    leaf = F.struct(F.lit("CREATE").alias("type"), _hex(F.col("l_suppkey")).alias("value"))
+    inner = F.struct(F.lit("DELEGATECALL").alias("type"), F.when(bad, "reverted").alias("error"), F.array(leaf).alias("calls"))
+    last = F.struct(F.lit("STATICCALL").alias("type"), F.when(bad, "reverted").alias("error"), F.lit(None).cast("array<struct<type string, value string>>").alias("calls"))
+    root = F.struct(F.lit("CALL").alias("type"), _hex(F.col("l_partkey")).alias("value"), F.array(inner, last).alias("calls"))
+    raw = line.select(_md5(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("tx_hash"), F.to_json(root).alias("trace"))
+    t = parse_evm.flat_traces(raw)
+    return t.select("tx_hash", "position", F.array_join(F.col("trace_address").cast("array<string>"), ",").alias("trace_address"), "type", "trace_type", "value", "subtraces", "error", "trace_id")
+
+
+@query(
+    "SELECT o_orderkey AS tx, address AS trace_address, CASE WHEN o_orderkey % 3 = 0 AND address IN ('0', '0,0', '0,0,2') THEN CASE WHEN o_orderkey % 2 = 0 AND address IN ('0,0', '0,0,2') THEN 'inner' ELSE 'outer' END WHEN o_orderkey % 2 = 0 AND address IN ('0,0', '0,0,2') THEN 'inner' END AS inherited FROM orders, (SELECT unnest(['', '0', '0,0', '0,0,2', '1']) AS address)",
+    plain=True,
+)
+def x8_parity_errors(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    step = lambda address, error: F.struct(F.array(*[F.lit(x) for x in address]).cast("array<int>").alias("trace_address"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    flat = F.array(step([], none), step([0], F.when(k % 3 == 0, "outer")), step([0, 0], F.when(k % 2 == 0, "inner")), step([0, 0, 2], none), step([1], none))
+    traces = o.select(k.alias("tx_hash"), F.explode(flat).alias("t")).select("tx_hash", "t.*")
+    return parse_evm.parity_errors(traces).select(F.col("tx_hash").alias("tx"), F.array_join(F.col("trace_address").cast("array<string>"), ",").alias("trace_address"), "inherited")
+
+
+def bitcoin_raw(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    script = F.struct(F.when(F.col("l_linenumber") % 5 == 0, "nulldata").when(F.col("l_linenumber") % 5 == 1, "multisig").otherwise("pubkeyhash").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("a"), F.col("l_suppkey").cast("string"))).alias("address"), F.array(F.concat(F.lit("b"), F.col("l_suppkey").cast("string"))).alias("addresses"))
+    out = F.struct(F.col("l_extendedprice").alias("value"), F.col("l_linenumber").alias("n"), script.alias("scriptPubKey"))
+    vin = F.struct(F.when(F.col("l_linenumber") == 1, "mint").alias("coinbase"), F.when(F.col("l_linenumber") != 1, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("txid"), F.when(F.col("l_linenumber") != 1, F.col("l_suppkey")).alias("vout"))
+    tx = F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("txid"), F.array(vin).alias("vin"), F.array(out).alias("vout"))
+    txs = line.groupBy("l_orderkey").agg(F.collect_list(tx).alias("tx"))
+    block = F.struct(F.md5(F.col("l_orderkey").cast("string")).alias("hash"), F.col("l_orderkey").alias("height"), F.lit(1231006505).alias("time"), F.lit(2.5).alias("difficulty"), "tx")
+    return txs.select(F.to_json(block).alias("payload"))
+
+
+_BTC_TX = "'t' || l_orderkey || '-' || l_linenumber || '-' || l_partkey"
+
+
+@query(f"SELECT l_orderkey AS height, {_BTC_TX} AS tx, l_linenumber AS n, CAST(round(l_extendedprice * 100000000) AS BIGINT) AS value, CASE WHEN l_linenumber % 5 = 0 THEN 'OP_RETURN' WHEN l_linenumber % 5 = 1 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'a' || l_suppkey ELSE 'b' || l_suppkey END AS address FROM lineitem", plain=True)
+def x14_bitcoin_outputs(spark, d):
+    return parse_other.bitcoin_outputs(parse_other.bitcoin_blocks(bitcoin_raw(spark, d)))
+
+
+@query(f"SELECT l_orderkey AS height, {_BTC_TX} AS tx, 0 AS i, 'p' || l_partkey AS prev_tx, l_suppkey AS prev_n FROM lineitem WHERE l_linenumber <> 1", plain=True)
+def n10_bitcoin_inputs(spark, d):
+    return parse_other.bitcoin_inputs(parse_other.bitcoin_blocks(bitcoin_raw(spark, d)))
+
+
+_PROGRAM = "CASE l_linenumber % 6 WHEN 0 THEN 'system' WHEN 1 THEN 'stake' WHEN 2 THEN 'vote' WHEN 3 THEN 'spl-memo' WHEN 4 THEN 'spl-token' ELSE 'mystery' END"
+_TYPE = "CASE l_linenumber % 6 WHEN 0 THEN 'transfer' WHEN 1 THEN 'delegate' WHEN 2 THEN 'withdraw' WHEN 3 THEN NULL WHEN 4 THEN 'burn' ELSE 'x' END"
+
+
+def solana_raw(spark, d) -> DataFrame:
+    info = F.struct(F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("voteAccount"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("destination"), F.col("l_partkey").alias("lamports"))
+    line = table(spark, d, "lineitem").withColumn("program", F.expr(_PROGRAM)).withColumn("type", F.expr(_TYPE))
+    parsed = F.when(F.col("program") == "spl-memo", F.to_json(F.struct("program", F.concat(F.lit("memo "), F.col("l_partkey").cast("string")).alias("parsed")))).otherwise(F.to_json(F.struct("program", F.struct("type", info.alias("info")).alias("parsed"))))
+    return line.select(_md5(F.col("l_orderkey"), F.col("l_suppkey")).alias("tx"), F.col("l_linenumber").alias("i"), parsed.alias("instruction"))
+
+
+@query(
+    f"SELECT md5(l_orderkey || '-' || l_suppkey) AS tx, l_linenumber AS i, {_PROGRAM} AS program, CASE l_linenumber % 6 WHEN 0 THEN 'transfer' WHEN 1 THEN 'delegate' WHEN 2 THEN 'withdraw' WHEN 3 THEN 'MEMO' ELSE 'UNKNOWN' END AS kind, CASE l_linenumber % 6 WHEN 0 THEN 's' || l_partkey WHEN 2 THEN 'v' || l_partkey END AS source, CASE WHEN l_linenumber % 6 IN (0, 2) THEN 'd' || l_suppkey END AS destination, CASE WHEN l_linenumber % 6 IN (0, 2) THEN l_partkey END AS lamports, CASE WHEN l_linenumber % 6 = 3 THEN 'memo ' || l_partkey END AS memo, l_linenumber % 6 NOT IN (0, 1, 2) AS third_party, CASE WHEN l_linenumber % 6 = 5 THEN 'unknown program mystery' END AS parse_error FROM lineitem",
+    plain=True,
+)
+def x17_solana_instructions(spark, d):
+    return parse_other.solana_instructions(solana_raw(spark, d))
+
+
+@query(
+    "SELECT tx, i * 2 + side AS op_index, CASE WHEN side = 1 THEN 'd' || l_suppkey WHEN i % 6 = 0 THEN 's' || l_partkey ELSE 'v' || l_partkey END AS account, CASE side WHEN 0 THEN -l_partkey ELSE l_partkey END AS amount FROM (SELECT md5(l_orderkey || '-' || l_suppkey) AS tx, l_linenumber AS i, l_partkey, l_suppkey, bool_or(l_linenumber % 6 NOT IN (0, 1, 2)) OVER (PARTITION BY l_orderkey, l_suppkey) AS third FROM lineitem), (SELECT unnest([0, 1]) AS side) WHERE NOT third AND i % 6 IN (0, 2)",
+    plain=True,
+)
+def l12_solana_ops(spark, d):
+    return parse_other.solana_native_ops(parse_other.solana_instructions(solana_raw(spark, d)))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'USER' WHEN 1 THEN 'BLOCK_METADATA' WHEN 2 THEN 'VALIDATOR' END AS kind, o_orderkey AS version, o_custkey % 2 = 0 AS success, make_timestamp(o_custkey * 1000000) AS ts, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || o_custkey END AS module_name, CASE WHEN o_orderkey % 4 = 0 THEN 'transfer' END AS function_name, CASE WHEN o_orderkey % 4 = 3 THEN 'unknown transaction odd_transaction' END AS parse_error FROM orders",
+    plain=True,
+)
+def x20_aptos_transactions(spark, d):
+    o = table(spark, d, "orders")
+    n = F.col("o_orderkey") % 4
+    function = F.when(n == 0, F.concat(F.lit("0x1::c"), F.col("o_custkey").cast("string"), F.lit("::transfer")))
+    payload = F.struct(F.when(n == 0, "entry_function_payload").alias("type"), function.alias("function"))
+    kind = F.when(n == 0, "user_transaction").when(n == 1, "block_metadata_transaction").when(n == 2, "validator_transaction").otherwise("odd_transaction")
+    tx = F.struct(kind.alias("type"), F.col("o_orderkey").cast("string").alias("version"), (F.col("o_custkey") % 2 == 0).alias("success"), (F.col("o_custkey") * 1000000 + 123).cast("string").alias("timestamp"), payload.alias("payload"))
+    return parse_other.aptos_transactions(o.select("o_orderkey", F.to_json(tx).alias("transaction"))).select("o_orderkey", "kind", "version", "success", "ts", "module_name", "function_name", "parse_error")
+
+
+@query(
+    "SELECT o_orderkey AS slot, CAST(floor(o_orderkey / 32) AS BIGINT) AS epoch, ['phase0', 'altair', 'bellatrix', 'capella', 'deneb', 'future'][1 + k] AS version, o_custkey AS proposer_index, CASE WHEN k IN (2, 3, 4) THEN o_orderkey + 5 END AS execution_block_number, CASE WHEN k IN (3, 4) THEN 2 END AS n_withdrawals, CASE WHEN k = 4 THEN 1 END AS n_blobs, CASE WHEN o_orderkey % 50 = 0 THEN 'another slot' WHEN k = 5 THEN 'unknown version' END AS parse_error FROM (SELECT *, o_orderkey % 6 AS k FROM orders)",
+    plain=True,
+)
+def x22_beacon_blocks(spark, d):
+    o = table(spark, d, "orders")
+    k = (F.col("o_orderkey") % 6).cast("int")
+    version = F.get(F.array(*[F.lit(x) for x in [*parse_other.BEACON_VERSIONS, "future"]]), k)
+    slot = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey"))
+    header = F.to_json(F.struct(F.struct(F.lit("r").alias("root"), F.struct(F.struct(slot.cast("string").alias("slot"), F.col("o_custkey").cast("string").alias("proposer_index")).alias("message")).alias("header")).alias("data")))
+    payload = F.struct((F.col("o_orderkey") + 5).cast("string").alias("block_number"), F.array(F.lit("w1"), F.lit("w2")).alias("withdrawals"))
+    body = F.struct(payload.alias("execution_payload"), F.array(F.lit("0xc")).alias("blob_kzg_commitments"))
+    block = F.to_json(F.struct(version.alias("version"), F.struct(F.struct(body.alias("body")).alias("message")).alias("data")))
+    raw = o.select(F.col("o_orderkey").alias("slot"), F.lit("r").alias("root"), header.alias("header"), block.alias("block"))
+    return parse_other.beacon_blocks(raw).select("slot", "epoch", "version", "proposer_index", "execution_block_number", "n_withdrawals", "n_blobs", "parse_error")
+
+
+@query("SELECT l_orderkey AS height, md5(CAST(l_orderkey AS VARCHAR)) AS block_hash, l_linenumber AS op_index, 'a' || l_partkey AS account, CAST(l_suppkey AS VARCHAR) || '000000000000000000000000000000000000000000' AS value FROM lineitem", plain=True)
+def x23_rosetta_ops(spark, d):
+    op = F.struct(F.struct(F.col("l_linenumber").alias("index")).alias("operation_identifier"), F.lit("TRANSFER").alias("type"), F.struct(F.concat(F.lit("a"), F.col("l_partkey").cast("string")).alias("address")).alias("account"), F.struct(F.concat(F.col("l_suppkey").cast("string"), F.lit("0" * 42)).alias("value")).alias("amount"))
+    ops = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(op).alias("operations"))
+    tx = F.array(F.struct(F.struct(F.lit("t").alias("hash")).alias("transaction_identifier"), "operations"))
+    block = F.struct(F.struct(F.col("l_orderkey").alias("index"), F.md5(F.col("l_orderkey").cast("string")).alias("hash")).alias("block_identifier"), F.lit(1500000000123).alias("timestamp"), tx.alias("transactions"))
+    return parse_other.rosetta_ops(ops.select(F.to_json(F.struct(block.alias("block"))).alias("payload"))).select("height", "block_hash", "op_index", "account", "value")
