@@ -22,39 +22,82 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from chainloom.llm.shared import SPACED, Words, as_binary, count_blocks, rolling, sql_name, texts_of, with_blocks
+from chainloom.llm.shared import SPACED, Words, as_binary, count_blocks, rolling, sql_name, with_blocks
+from chainloom.llm.token_output import pack, unpack
 
 #: Bytes of text in a block, and n-grams (about) in a bucket.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_GRAMS = 1 << 21
 _KEY = np.uint64((1 << 48) - 1)
 
 
 def pack_counts(n: np.ndarray) -> tuple[bytes, bytes]:
-    """A byte each; 255 and more stand apart, in turn."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype("<i8").tobytes()
+    """A bit each for more than 1, then those in one to four bytes with two bits of control; high halves of 64 bits apart, if any."""
+    more = n[n > 1]
+    control, data = pack(more & 0xFFFFFFFF)
+    high = more >> 32
+    return np.packbits(n > 1).tobytes() + control + data, high.astype("<i4").tobytes() if high.any() else b""
 
 
-def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    n = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
-    n[n == 255] = np.frombuffer(large, dtype="<i8")
+def unpack_counts(small: bytes, large: bytes, size: int) -> np.ndarray:
+    bits = -(-size // 8)
+    is_more = np.unpackbits(np.frombuffer(small, dtype=np.uint8, count=bits), count=size).astype(bool)
+    n = np.ones(size, dtype=np.int64)
+    k = int(is_more.sum())
+    at = bits + -(-k // 4)
+    more = unpack(small[bits:at], small[at:], k).astype(np.int64)
+    if large:
+        more |= np.frombuffer(large, dtype="<i4").astype(np.int64) << 32
+    n[is_more] = more
     return n
 
 
-class Grams:
-    """The n-grams of some texts, n = 1 .. order, and the distinct ones in order of (bucket, key)."""
+_GAP = (1 << 40) - 1
 
-    def __init__(self, texts: list[bytes | None], order: int, buckets: int):
-        self.words = Words(texts, SPACED)
-        h = self.words.hashes()
-        self.at = [self.words.windows(n) for n in range(1, order + 1)]
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as gaps of five bytes; larger gaps stand apart, in turn, before them (a number tells how many)."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    wide = gaps[gaps >= _GAP]
+    five = np.minimum(gaps, np.uint64(_GAP)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return len(wide).to_bytes(4, "little") + wide.astype("<u8").tobytes() + five.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    five = np.frombuffer(data, dtype=np.uint8, offset=4 + 8 * n).reshape(-1, 5)
+    gaps = np.zeros((len(five), 8), dtype=np.uint8)
+    gaps[:, :5] = five
+    gaps = gaps.view("<u8").reshape(-1)
+    gaps[gaps == _GAP] = np.frombuffer(data, dtype="<u8", count=n, offset=4)
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+@F.arrow_udf(returnType=BinaryType())
+def squeezed(column: pa.Array) -> pa.Array:
+    """Zstandard frames of the texts, for their shuffle."""
+    z = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if t is None else z.compress(t) for t in column.to_pylist()], pa.binary())
+
+
+def _texts(column) -> list[bytes | None]:
+    z = zstandard.ZstdDecompressor()
+    return [None if t is None else z.decompress(t) for t in column.to_pylist()]
+
+
+class Level:
+    """Some windows of words: their distinct n-grams in order of (bucket, key), with counts."""
+
+    def __init__(self, hashes: np.ndarray, windows: dict[int, np.ndarray], buckets: int):
         keys, where = [], []
-        for n, at in enumerate(self.at, 1):
-            keys.append(rolling(h + np.uint64(n), at, n) & _KEY)
-            where.append(rolling(h + np.uint64(n), at, n, lane=1) % np.uint64(buckets))
+        for n, at in windows.items():
+            keys.append(rolling(hashes + np.uint64(n), at, n) & _KEY)
+            where.append(rolling(hashes + np.uint64(n), at, n, lane=1) % np.uint64(buckets))
         key, bucket = np.concatenate(keys), np.concatenate(where)
         if buckets <= 1 << 16:
             sort = np.argsort(bucket << np.uint64(48) | key, kind="stable")
@@ -64,46 +107,108 @@ class Grams:
         new = np.ones(len(k), dtype=bool)
         new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
         heads = np.flatnonzero(new)
+        self.windows = windows
         self.keys, self.buckets = k[heads], b[heads].astype(np.int64)
         self.counts = np.diff(np.append(heads, len(k)))
         which = np.empty(len(k), dtype=np.int64)
         which[sort] = np.cumsum(new) - 1
-        cuts = np.cumsum([len(a) for a in self.at])[:-1]
         #: for each n, the distinct n-gram at each window
-        self.which = np.split(which, cuts)
-        edges = np.flatnonzero(np.diff(self.buckets, prepend=-1))
-        self.cuts = list(zip(self.buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(self.buckets)])) if len(edges) else []
-
-    def own(self, n: int) -> np.ndarray:
-        """For each window of n words, how often its own document has the same n-gram."""
-        whose = np.searchsorted(self.words.first, self.at[n - 1], side="right") - 1
-        pair = whose * max(len(self.keys), 1) + self.which[n - 1]
-        _, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        return counts[back] if len(pair) else pair
-
-
-def _scores(grams: Grams, totals: np.ndarray, corpus_words: int, order: int, backoff: float) -> np.ndarray:
-    """Sum of log scores of each text."""
-    words = grams.words
-    n_words = words.counts()
-    left = []  # counts outside the own document, by first word of the window
-    for n in range(1, order + 1):
-        f = np.zeros(len(words), dtype=np.int64)
-        f[grams.at[n - 1]] = totals[grams.which[n - 1]] - grams.own(n)
-        left.append(f)
-    whose = np.repeat(np.arange(len(n_words)), n_words)
-    others = (corpus_words - n_words)[whose]
-    one = left[0]
-    p = np.where(one > 0, one / np.maximum(others, 1), 1.0 / (others + 1))
-    place = np.arange(len(words)) - words.first[:-1][whose]
-    for n in range(2, order + 1):
-        # the window that ends at each word, its context (n - 1 words), and the word's score by less context
-        at = np.maximum(np.arange(len(words)) - n + 1, 0)
-        there = place >= n - 1
-        f = np.where(there, left[n - 1][at], 0)
-        context = left[n - 2][at]
-        p = np.where(there, np.where(f > 0, f / np.maximum(context, 1), backoff * p), p)
-    return np.bincount(whose, np.log(p), minlength=len(n_words)).astype(np.float64)
+        self.which = dict(zip(windows, np.split(which, np.cumsum([len(a) for a in windows.values()])[:-1])))
+        edges = np.flatnonzero(np.diff(self.buckets, prepend=-1)).tolist()
+        self.cuts = {int(self.buckets[s]): (s, e) for s, e in zip(edges, [*edges[1:], len(self.buckets)])}
+
+    def rows(self, block: int, words: int) -> pa.Table:
+        """Its n-grams by bucket, and one row (bucket -1) with the block's number of words."""
+        packed = [pack_counts(self.counts[s:e]) for s, e in self.cuts.values()]
+        return pa.table(
+            {
+                "bucket": pa.array([-1, *self.cuts], pa.int32()),
+                "block": pa.array([block] * (len(packed) + 1), pa.int32()),
+                "keys": pa.array([b"", *(pack_keys(self.keys[s:e]) for s, e in self.cuts.values())], pa.binary()),
+                "small": pa.array([b"", *(x[0] for x in packed)], pa.binary()),
+                "large": pa.array([b"", *(x[1] for x in packed)], pa.binary()),
+                "words": pa.array([words] + [0] * len(packed), pa.int64()),
+            }
+        )
+
+    def totals(self, sums: list[dict]) -> np.ndarray:
+        total = np.zeros(len(self.keys), dtype=np.int64)
+        for r in sums:
+            s, e = self.cuts[r["bucket"]]
+            total[s:e] = self.counts[s:e] + unpack_counts(r["small"], r["large"], e - s) - 1
+        return total
+
+
+class Block:
+    """A block's words, and how often each window's n-gram occurs outside its own document."""
+
+    def __init__(self, texts: list[bytes | None], buckets: int):
+        self.words, self.buckets = Words(texts, SPACED), buckets
+        self.hashes = self.words.hashes()
+        self.left: dict[int, np.ndarray] = {}
+
+    def level(self, n: int) -> Level:
+        """Level 2 has all words and pairs; level n > 2 the n-grams of which both parts of n - 1 words occur elsewhere."""
+        if n == 2:
+            return Level(self.hashes, {1: self.words.windows(1), 2: self.words.windows(2)}, self.buckets)
+        at = self.words.windows(n)
+        there = self.left[n - 1] > 0
+        return Level(self.hashes, {n: at[there[at] & there[at + 1]]}, self.buckets)
+
+    def hear(self, level: Level, sums: list[dict]) -> None:
+        totals = level.totals(sums)
+        for n, at in level.windows.items():
+            whose = np.searchsorted(self.words.first, at, side="right") - 1
+            _, back, counts = np.unique(whose * max(len(level.keys), 1) + level.which[n], return_inverse=True, return_counts=True)
+            f = np.zeros(len(self.words), dtype=np.int64)
+            if len(at):
+                f[at] = totals[level.which[n]] - counts[back]
+            self.left[n] = f
+
+    def scores(self, corpus_words: int, order: int, backoff: float) -> np.ndarray:
+        """Sum of log scores of each text."""
+        words, n_words = self.words, self.words.counts()
+        whose = np.repeat(np.arange(len(n_words)), n_words)
+        others = (corpus_words - n_words)[whose]
+        one = self.left[1]
+        p = np.where(one > 0, one / np.maximum(others, 1), 1.0 / (others + 1))
+        place = np.arange(len(words)) - words.first[:-1][whose]
+        for n in range(2, order + 1):
+            # the window that ends at each word, its context (n - 1 words), and the word's score by less context
+            at = np.maximum(np.arange(len(words)) - n + 1, 0)
+            there = place >= n - 1
+            f = np.where(there, self.left[n][at], 0)
+            p = np.where(there, np.where(f > 0, f / np.maximum(self.left[n - 1][at], 1), backoff * p), p)
+        return np.bincount(whose, np.log(p), minlength=len(n_words)).astype(np.float64)
+
+
+def _add(table: pa.Table, level: int) -> pa.Table:
+    """Sums of the counts that blocks sent to a bucket, for each of them."""
+    bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
+    if bucket < 0:  # one number from each block: the corpus's words
+        packed, words = [(b"", b"")] * len(block), sum(table["words"].to_pylist())
+    else:
+        keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
+        n = np.concatenate([unpack_counts(a, b, len(k)) for a, b, k in zip(table["small"].to_pylist(), table["large"].to_pylist(), keys)])
+        at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        _, back = np.unique(np.concatenate(keys), return_inverse=True)
+        # 1 and what other blocks have: mostly just that
+        total = np.bincount(back, n).astype(np.int64)[back] - n + 1  # exact below 2**53
+        packed, words = [pack_counts(total[a:b]) for a, b in zip(at[:-1], at[1:])], 0
+    return pa.table(
+        {
+            "block": pa.array(block, pa.int32()),
+            "level": pa.array([level] * len(block), pa.int32()),
+            "bucket": pa.array([bucket] * len(block), pa.int32()),
+            "small": pa.array([x[0] for x in packed], pa.binary()),
+            "large": pa.array([x[1] for x in packed], pa.binary()),
+            "words": pa.array([words] * len(block), pa.int64()),
+        }
+    )
+
+
+_SENT = "bucket int, block int, keys binary, small binary, large binary, words bigint"
+_SUMS = "block int, level int, bucket int, small binary, large binary, words bigint"
 
 
 def score(docs: DataFrame, text: str = "text", order: int = 3, backoff: float = 0.4) -> DataFrame:
@@ -112,63 +217,55 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, backoff: float =
     Null texts and texts of no words have 0 words, log score 0 and a null mean.  The first
     words of a text use what context there is.  Repeated rows count as that many documents.
     An empty table gives an empty table.
+
+    Words and pairs are counted in one round, each longer n in a round of its own, which
+    leaves out n-grams that can't occur elsewhere since a part of them doesn't.
     """
     blocks = count_blocks(docs, text, BLOCK_BYTES)
-    buckets = max(128, blocks * BLOCK_BYTES * order // (6 * BUCKET_GRAMS))
+    buckets = max(128, blocks * BLOCK_BYTES * 2 // (6 * BUCKET_GRAMS))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     body = plain.columns[docs.columns.index(text)]
     rows = plain.withColumn("body", as_binary(body)).drop(body)
-    rows = with_blocks(rows, blocks, *rows.columns)
+    rows = with_blocks(rows, blocks, *rows.columns).withColumn("body", squeezed("body"))
     carried = [c for c in rows.columns if c not in ("body", "block")]
 
-    def send(table: pa.Table) -> pa.Table:
-        g = Grams(texts_of(table["body"]), order, buckets)
-        block = table["block"][0].as_py()
-        out: dict[str, list] = {"bucket": [-1], "block": [block], "keys": [b""], "small": [b""], "large": [b""], "words": [len(g.words)]}
-        raw = g.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        for b, s, e in g.cuts:
-            small, large = pack_counts(g.counts[s:e])
-            for k, x in zip(out, (b, block, raw[s:e].tobytes(), small, large, 0)):
-                out[k].append(x)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("keys", "small", "large")}, "words": pa.array(out["words"], pa.int64())})
-
-    def count(table: pa.Table) -> pa.Table:
-        bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
-        if bucket < 0:  # a number from each block: the corpus's words
-            total = sum(table["words"].to_pylist())
-            return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array([-1] * len(block), pa.int32()), "small": pa.array([b""] * len(block), pa.binary()), "large": pa.array([b""] * len(block), pa.binary()), "words": pa.array([total] * len(block), pa.int64())})
-        raws = table["keys"].to_pylist()
-        sizes = np.array([len(x) // 6 for x in raws])
-        wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(raws), dtype=np.uint8).reshape(-1, 6)
-        del raws
-        n = np.concatenate([unpack_counts(a, b) for a, b in zip(table["small"].to_pylist(), table["large"].to_pylist())])
-        _, back = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
-        total = np.bincount(back, n).astype(np.int64)[back]  # exact below 2**53
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        packed = [pack_counts(total[a:b]) for a, b in zip(at[:-1], at[1:])]
-        return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array([bucket] * len(block), pa.int32()), "small": pa.array([x[0] for x in packed], pa.binary()), "large": pa.array([x[1] for x in packed], pa.binary()), "words": pa.array([0] * len(block), pa.int64())})
+    def heard(docs_: pa.Table, sums: pa.Table, last: int) -> tuple[Block, int]:
+        block, by_level, corpus = Block(_texts(docs_["body"]), buckets), {}, 0
+        for r in sums.to_pylist():
+            if r["bucket"] < 0:
+                corpus = max(corpus, r["words"])
+            else:
+                by_level.setdefault(r["level"], []).append(r)
+        for n in range(2, last + 1):
+            block.hear(block.level(n), by_level.get(n, []))
+        return block, corpus
+
+    def send_first(table: pa.Table) -> pa.Table:
+        block = Block(_texts(table["body"]), buckets)
+        return block.level(2).rows(table["block"][0].as_py(), len(block.words))
+
+    def sender(n: int):
+        def send(docs_: pa.Table, sums: pa.Table) -> pa.Table:
+            block, _ = heard(docs_, sums, n - 1)
+            return block.level(n).rows(docs_["block"][0].as_py(), 0)
+
+        return send
 
     def fuse(docs_: pa.Table, sums: pa.Table) -> pa.Table:
-        g = Grams(texts_of(docs_["body"]), order, buckets)
-        totals, corpus = np.zeros(len(g.keys), dtype=np.int64), 0
-        place = {b: (s, e) for b, s, e in g.cuts}
-        for b, small, large, words in zip(*(sums[k].to_pylist() for k in ("bucket", "small", "large", "words"))):
-            if b < 0:
-                corpus = words
-            else:
-                s, e = place[b]
-                totals[s:e] = unpack_counts(small, large)
-        n = g.words.counts()
-        logs = _scores(g, totals, corpus, order, backoff)
+        block, corpus = heard(docs_, sums, max(order, 2))
+        n, logs = block.words.counts(), block.scores(corpus, order, backoff)
         out = docs_.select(carried)
-        mean = pa.array(logs / np.maximum(n, 1), mask=n == 0)
-        for name, column in (("n_words", pa.array(n, pa.int64())), ("log_score", pa.array(logs)), ("mean_log_score", mean)):
+        for name, column in (("n_words", pa.array(n, pa.int64())), ("log_score", pa.array(logs)), ("mean_log_score", pa.array(logs / np.maximum(n, 1), mask=n == 0))):
             out = out.append_column(name, column)
         return out
 
-    sent = rows.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, small binary, large binary, words bigint")
-    sums = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, small binary, large binary, words bigint")
+    def added(sent: DataFrame, n: int) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(lambda t: _add(t, n), _SUMS)
+
+    sums = added(rows.groupBy("block").applyInArrow(send_first, _SENT), 2)
+    for n in range(3, order + 1):
+        sent = rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(sender(n), _SENT)
+        sums = sums.unionByName(added(sent, n))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), "n_words bigint", "log_score double", "mean_log_score double"])
     done = rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(fuse, schema)

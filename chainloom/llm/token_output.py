@@ -25,8 +25,8 @@ from chainloom.llm.shared import ranges, shared_path, slices
 #: Bytes of a part of the output, and tokens in a block (a longer document is a block by itself).
 PART_BYTES = 32 << 20
 BLOCK_TOKENS = 1 << 16
-#: Words whose tokens a Python worker remembers, at most.
-REMEMBERED = 1_000_000
+#: Words whose tokens a Python worker remembers, at most, and pieces of words.
+REMEMBERED, PIECES = 1_000_000, 50_000
 #: Ids of a vocabulary at most; the rank table is broadcast.
 VOCABULARY = 1 << 20
 
@@ -56,6 +56,7 @@ class Encoder:
         self.dtype = np.dtype(kind)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT)
         self.by_word = self._splits()
@@ -79,16 +80,26 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _part(self, part: str) -> bytes:
+        size = self.dtype.itemsize
+        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))])
+
     def _word(self, word: str) -> bytes:
-        """Ids of a word and the space before it."""
+        """Ids of a word and the space before it; words that differ in punctuation share their letters' ids."""
         if word.isalpha():
-            parts = [" " + word]
-        else:
-            parts = self.split.findall(" " + word)
-        size, order, ids = self.dtype.itemsize, "little", []
-        for part in parts:
-            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]
-        return b"".join([i.to_bytes(size, order) for i in ids])
+            return self._part(" " + word)
+        out = []
+        for part in self.split.findall(" " + word):
+            letters = part[1:] if part[0] == " " and part[1:].isalpha() else None
+            ids = self.pieces.get(part) if letters is None else self.words.get(letters) or self.older.get(letters)
+            if ids is None:
+                ids = self._part(part)
+                if letters is not None:
+                    self.words[letters] = ids
+                elif len(self.pieces) < PIECES:
+                    self.pieces[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _learn(self, every: list[str], found: list[bytes | None]) -> None:
         """Fill in what ``found`` lacks; words that touch other white space stay out."""

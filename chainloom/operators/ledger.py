@@ -91,3 +91,62 @@ def utxo_ops(inputs: DataFrame, outputs: DataFrame, skipped_tx: list[str] = ())
     spent = inputs.select("tx", F.lit("INPUT").alias("type"), F.coalesce("prev_address", coin_in).alias("account"), (-F.col("prev_value")).alias("amount"), coin_in.alias("coin"), status("tx").alias("status"))
     made = outputs.select("tx", F.lit("OUTPUT").alias("type"), F.coalesce("address", coin_out).alias("account"), F.col("value").alias("amount"), F.when(F.col("address") != "OP_RETURN", coin_out).alias("coin"), status("tx").alias("status"))
     return spent.unionByName(made)
+
+
+# -------------------------------------------------------- chains with rules of their own
+
+#: Deposits into rollups pay no fee.
+DEPOSIT = 126
+
+
+def base_fee_ops(tx: DataFrame) -> DataFrame:
+    """Fees of a rollup: sender pays execution and data fees; sequencer, base-fee vault and data vault earn them; deposits pay none but mint.
+
+    ``tx``: tx_hash, sender, type, gas_used, effective_gas_price, base_fee, l1_fee, mint.
+    """
+    paid = F.col("gas_used") * F.col("effective_gas_price")
+    base = F.col("gas_used") * F.coalesce("base_fee", F.lit(0))
+    data = F.coalesce("l1_fee", F.lit(0))
+    op = lambda kind, account, amount: F.struct(F.lit(kind).alias("type"), account.alias("account"), amount.cast("decimal(38,0)").alias("amount"))
+    fees = F.array(op("FEE", F.col("sender"), -(paid + data)), op("FEE", F.lit("sequencer"), paid - base), op("FEE", F.lit("base_vault"), base), op("FEE", F.lit("data_vault"), data))
+    mint = F.array(op("MINT", F.col("sender"), F.coalesce("mint", F.lit(0))))
+    ops = F.filter(F.when(F.col("type") == DEPOSIT, mint).otherwise(fees), lambda o: o["amount"] != 0)
+    return tx.select("tx_hash", F.posexplode(ops).alias("op_index", "o")).select("tx_hash", "op_index", "o.type", "o.account", "o.amount")
+
+
+def transfer_ops(transfers: DataFrame) -> DataFrame:
+    """PAYMENT pairs of token transfers (tx_hash, log_index, token, from_address, to_address, value, succeeded) of more than nothing."""
+    pair = F.array(F.struct(F.col("from_address").alias("account"), (-F.col("value")).alias("amount")), F.struct(F.col("to_address").alias("account"), F.col("value").alias("amount")))
+    moving = transfers.where(F.col("value") > 0)
+    status = F.when(F.col("succeeded"), "SUCCESS").otherwise("FAILURE")
+    return moving.select("tx_hash", "log_index", "token", status.alias("status"), F.posexplode(pair).alias("side", "op")).select("tx_hash", (F.col("log_index") * 2 + F.col("side")).alias("op_index"), "token", "status", "op.account", "op.amount")
+
+
+def withdrawal_ops(withdrawals: DataFrame) -> DataFrame:
+    """Validators' withdrawals in wei, each a ledger transaction of its own."""
+    return withdrawals.select(F.col("ledger_tx").alias("tx_hash"), F.lit("WITHDRAWAL").alias("type"), F.col("address").alias("account"), (F.col("gwei").cast("decimal(20,0)") * F.lit(GWEI).cast("decimal(10,0)")).cast("decimal(38,0)").alias("amount"))
+
+
+def destroyed(ops: DataFrame, destructions: DataFrame) -> DataFrame:
+    """What accounts that were destroyed held at the end of their transaction: a DESTRUCT operation takes it, less than nothing is an error.
+
+    ``ops``: tx_hash, op_index, account, amount, status.  ``destructions``: tx_hash, account,
+    op_index (of the call that destroyed it).  Operations after the destruction count.
+    Accounts are in order, so results don't depend on any map's.
+    """
+    once = destructions.groupBy("tx_hash", "account").agg(F.min("op_index").alias("from_index"))
+    later = ops.where("status = 'SUCCESS'").join(once, ["tx_hash", "account"]).where(F.col("op_index") > F.col("from_index"))
+    left = later.groupBy("tx_hash", "account").agg(F.sum("amount").alias("left"))
+    return left.where("left != 0").select("tx_hash", "account", (-F.col("left")).alias("amount"), F.when(F.col("left") > 0, "DESTRUCT").otherwise("ERROR").alias("type"))
+
+
+def reward_or_fee(rewards: DataFrame) -> DataFrame:
+    """Solana rewards as operations; what is taken from an account is a fee."""
+    return rewards.where("lamports != 0").select("height", F.col("pubkey").alias("account"), F.col("lamports").alias("amount"), F.when(F.col("lamports") < 0, "FEE").otherwise("REWARD").alias("type"))
+
+
+def numbered(ops: DataFrame, by: str, *order: str) -> DataFrame:
+    """Running operation index within each transaction."""
+    from pyspark.sql import Window
+
+    return ops.withColumn("op_index", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)

@@ -650,3 +650,90 @@ def x23_rosetta_ops(spark, d):
     tx = F.array(F.struct(F.struct(F.lit("t").alias("hash")).alias("transaction_identifier"), "operations"))
     block = F.struct(F.struct(F.col("l_orderkey").alias("index"), F.md5(F.col("l_orderkey").cast("string")).alias("hash")).alias("block_identifier"), F.lit(1500000000123).alias("timestamp"), tx.alias("transactions"))
     return parse_other.rosetta_ops(ops.select(F.to_json(F.struct(block.alias("block"))).alias("payload"))).select("height", "block_hash", "op_index", "account", "value")
+
+
+@query(
+    "SELECT tx_hash, CAST(row_number() OVER (PARTITION BY tx_hash ORDER BY k) - 1 AS INTEGER) AS op_index, type, account, CAST(amount AS VARCHAR) AS amount FROM (SELECT md5(o_orderkey || 'tx') AS tx_hash, unnest([0, 1, 2, 3]) AS k, unnest(CASE WHEN dep THEN ['MINT', 'x', 'x', 'x'] ELSE ['FEE', 'FEE', 'FEE', 'FEE'] END) AS type, unnest(['c' || o_custkey, 'sequencer', 'base_vault', 'data_vault']) AS account, unnest(CASE WHEN dep THEN [o_custkey % 4, 0, 0, 0] ELSE [-(g * p + l), g * p - g * b, g * b, l] END) AS amount FROM (SELECT *, o_orderkey % 5 = 0 AS dep, 21000 + o_orderkey AS g, 30 + o_custkey % 70 AS p, o_custkey % 25 AS b, o_custkey % 3 AS l FROM orders)) WHERE amount <> 0",
+    plain=True,
+)
+def l7_rollup_fee_ops(spark, d):
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    tx = table(spark, d, "orders").select(F.md5(F.concat(key.cast("string"), F.lit("tx"))).alias("tx_hash"), F.concat(F.lit("c"), who.cast("string")).alias("sender"), F.when(key % 5 == 0, 126).otherwise(2).alias("type"), (F.lit(21000) + key).alias("gas_used"), (30 + who % 70).alias("effective_gas_price"), (who % 25).alias("base_fee"), (who % 3).alias("l1_fee"), (who % 4).alias("mint"))
+    return ledger.base_fee_ops(tx).withColumn("amount", F.col("amount").cast("string"))
+
+
+@query(
+    "SELECT md5(l_orderkey || '-' || l_partkey) AS tx_hash, l_linenumber * 2 + side AS op_index, 't' || l_suppkey % 3 AS token, CASE WHEN l_returnflag = 'R' THEN 'FAILURE' ELSE 'SUCCESS' END AS status, CASE side WHEN 0 THEN 'a' || l_partkey ELSE 'b' || l_suppkey END AS account, CASE side WHEN 0 THEN -v ELSE v END AS amount FROM (SELECT *, CAST(l_quantity AS BIGINT) - 5 AS v FROM lineitem), (SELECT unnest([0, 1]) AS side) WHERE v > 0",
+    plain=True,
+)
+def l9_transfer_ops(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    t = table(spark, d, "lineitem").select(_md5(F.col("l_orderkey"), F.col("l_partkey")).alias("tx_hash"), F.col("l_linenumber").alias("log_index"), text("t", F.col("l_suppkey") % 3).alias("token"), text("a", F.col("l_partkey")).alias("from_address"), text("b", F.col("l_suppkey")).alias("to_address"), (F.col("l_quantity").cast("bigint") - 5).alias("value"), (F.col("l_returnflag") != "R").alias("succeeded"))
+    return ledger.transfer_ops(t)
+
+
+@query(
+    "SELECT l_orderkey AS tx_hash, l_suppkey AS account, -sum(amount) AS amount, CASE WHEN sum(amount) > 0 THEN 'DESTRUCT' ELSE 'ERROR' END AS type FROM (SELECT l_orderkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT) - 20 AS amount, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM lineitem) WHERE l_linenumber > f GROUP BY 1, 2 HAVING sum(amount) <> 0",
+    plain=True,
+)
+def l2_destroyed_accounts(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx_hash"), F.col("l_linenumber").alias("op_index"), F.col("l_suppkey").alias("account"), (F.col("l_quantity").cast("bigint") - 20).alias("amount"), F.lit("SUCCESS").alias("status"), "l_returnflag")
+    return ledger.destroyed(line, line.where("l_returnflag = 'A'").select("tx_hash", "account", "op_index"))
+
+
+@query()
+def s18_weighted_pick(spark, d):
+    """Heights that each endpoint gets; DuckDB lacks the checksum that deals them."""
+    picks = table(spark, d, "orders").select(S.weighted_pick("o_orderkey", [1, 2, 3]).alias("endpoint"))
+    return picks.groupBy("endpoint").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH RECURSIVE v AS (SELECT o_custkey, list(o_orderkey % 11 ORDER BY o_orderkey) AS xs FROM orders GROUP BY 1), s AS (SELECT o_custkey, xs, 1 AS i, CAST(xs[1] AS DOUBLE) AS a, CASE WHEN xs[1] > 5 THEN 1 ELSE 0 END AS h FROM v UNION ALL SELECT o_custkey, xs, i + 1, a + (xs[i + 1] - a) * (2.0::DOUBLE / 11), least(3, greatest(0, h + CASE WHEN xs[i + 1] > 5 THEN 1 ELSE -1 END)) FROM s WHERE i < len(xs)) SELECT o_custkey, CAST(round(a * 1000) AS BIGINT) AS average, h AS violations FROM s WHERE i = len(xs)",
+    plain=True,
+)
+def s20_v10_moving_average_and_hysteresis(spark, d):
+    values = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey"))), lambda x: x["o_orderkey"] % 11).alias("xs"))
+    return values.select("o_custkey", F.round(S.moving_average("xs") * 1000).cast("bigint").alias("average"), S.hysteresis(F.transform("xs", lambda x: x > 5), 3).alias("violations"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_transform(string_split(lower(replace(o_orderpriority, ' ', '-')), '-'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM orders", plain=True)
+def s16_camel_case(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.camel_case(F.regexp_replace("o_orderpriority", "[- ]", "_")).alias("name"))
+
+
+@query("SELECT method, 'chain.Api' AS service, count(*) AS n FROM (SELECT event_type AS method FROM events) GROUP BY 1", plain=True)
+def q19_method_names(spark, d):
+    m = table(spark, d, "events").select(S.method_name(F.concat(F.lit("/chain.Api/"), "event_type")).alias("m"))
+    return m.groupBy("m.method", "m.service").agg(F.count("*").alias("n"))
+
+
+@query("SELECT height, hash, skipped FROM (SELECT height, CASE WHEN height % 3 = 0 AND NOT skipped THEN hash || 'p' ELSE hash END AS hash, skipped FROM canonical WHERE height % 10 <> 0 UNION ALL SELECT height, hash, skipped FROM canonical WHERE height % 10 = 0)")
+def f9_primary_or_secondary(spark, d):
+    blocks = reads.canonical_blocks(derived.block_writes(spark, d)).select("height", "hash", "skipped")
+    primary = blocks.where("height % 10 != 0").withColumn("hash", F.when((F.col("height") % 3 == 0) & ~F.col("skipped"), F.concat("hash", F.lit("p"))).otherwise(F.col("hash")))
+    return reorg.primary_or_secondary(primary, blocks, ["height"])
+
+
+@query("SELECT height, hash FROM canonical WHERE NOT skipped AND height > 300 AND height <= least(1400 - 12, 300 + 500)")
+def st7_confirmed_batch(spark, d):
+    from chainloom.streaming.events import confirmed
+
+    blocks = reads.canonical_blocks(derived.block_writes(spark, d)).where(~F.col("skipped"))
+    return confirmed(blocks, 1400, 12, 300, 500).select("height", "hash")
+
+
+@query("SELECT event_id, event_type, e.height, parent_height FROM events0 e LEFT JOIN (SELECT height, hash, parent_height FROM canonical WHERE NOT skipped) c ON e.height = c.height AND e.hash = c.hash")
+def st4_enriched_events(spark, d):
+    blocks = reads.canonical_blocks(derived.block_writes(spark, d)).where(~F.col("skipped")).select("height", "hash", "parent_height")
+    return derived.chain_events(spark, d).join(blocks, ["height", "hash"], "left").select("event_id", "event_type", "height", "parent_height")
+
+
+@query("SELECT topic, retries, count(*) AS n FROM (SELECT event_type AS topic, CAST(event_id % 3 AS INTEGER) AS retries FROM events WHERE event_id % 7 <> 0) GROUP BY 1, 2", plain=True)
+def w7_messages(spark, d):
+    """Latest states of messages that were sent, sent again and deleted, in the form a store keeps them."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    states = e.withColumn("retries", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")))).select("event_id", "event_type", "retries", F.lit(False).alias("deleted"), F.col("retries").alias("write_seq"))
+    gone = e.where("event_id % 7 = 0").select("event_id", "event_type", F.lit(0).alias("retries"), F.lit(True).alias("deleted"), F.lit(9).alias("write_seq"))
+    last = continuity.versions_as_of(states.unionByName(gone), "event_id", "write_seq", 100)
+    return last.where(~F.col("deleted")).groupBy(F.col("event_type").alias("topic"), "retries").agg(F.count("*").alias("n"))

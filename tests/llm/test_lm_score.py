@@ -48,10 +48,13 @@ def test_edges(spark):
     assert score(docs.limit(0)).count() == 0
 
 
-def test_large_counts():
+def test_packing():
     import numpy as np
 
-    from chainloom.llm.lm_score import pack_counts, unpack_counts
+    from chainloom.llm.lm_score import pack_counts, pack_keys, unpack_counts, unpack_keys
 
-    n = np.array([1, 254, 255, 256, 1 << 40, 2])
-    assert (unpack_counts(*pack_counts(n)) == n).all()
+    n = np.array([1, 254, 255, 256, 1 << 40, 2, 1, 1, 1])
+    keys = np.array([0, 5, 5 + (1 << 40) - 1, 1 << 44, (1 << 48) - 1], dtype=np.uint64)
+    for k in range(10):
+        assert (unpack_counts(*pack_counts(n[:k]), k) == n[:k]).all()
+        assert (unpack_keys(pack_keys(keys[:k])) == keys[:k]).all()

@@ -49,3 +49,13 @@ def test_query(spark, duck, name):
     expected = rows(names, cur.fetchall())
     assert rows(got.columns, got.collect()) == expected
     assert expected or name in {"v6_ledger_residuals"}
+
+
+def test_entry_and_shares(spark):
+    assert e.entry(spark).count() == 1200
+    n = {r.endpoint: r.n for r in e.queries()["s18_weighted_pick"](spark, SF).collect()}
+    assert all(abs(n[i] / sum(n.values()) - (i + 1) / 6) < 0.05 for i in range(3))
+
+
+def test_all_columns_named(spark):
+    assert set(e.oracle_sql()) <= set(e.queries())
