@@ -1,16 +1,18 @@
 """Operator 4, SimHash near-dedup by anchor-point covering.
 
-Fingerprints are cut into blocks of 32 bits.  Two fingerprints that differ in at most
-``t`` bits of ``b`` blocks have a block in which they differ in at most ``t // b``
-(one, as used here).  The anchors of a block are the words of a covering code: a
-Hamming code of length 31 beside one free bit, so every block value has a home anchor
-within the covering radius 1.  A fingerprint goes to its home anchor and, as a replica,
-to every anchor within covering radius plus threshold, so any two linked fingerprints
-meet at the home anchor of either.
-
-Equal fingerprints are one class before any of this.  At an anchor, classes are
-compared with each other but only a spanning forest of the links goes on, so no group
-of near copies is spelled out pair by pair; hot anchors are compared in tiles.
+Fingerprints are cut into blocks of 32 bits.  The anchors of a block are the words of a
+covering code: a Hamming code of length 31 beside one free bit, so every block value has a
+home anchor within the covering radius 1.  A fingerprint goes to its home anchor and, as a
+replica, to every anchor within covering radius plus the block's threshold ``within``, so
+two fingerprints that differ in at most ``within`` bits of a block meet at the home anchor
+of either.  Two that differ in fewer than ``blocks * (within + 1)`` bits have such a block.
+Farther pairs meet by chance only, so wide fingerprints are cut into blocks several times
+over (``arrangements``), with their bits in another order each time.
+
+Equal fingerprints are one class before any of this.  At each anchor all classes are held
+against one of them, its pivot; that joins groups of near copies in steps that grow with
+the number of classes.  Only anchors where several groups meet are then compared class by
+class, in tiles if they are hot, and only classes of different groups.
 """
 
 from __future__ import annotations
@@ -29,10 +31,32 @@ TILE = 1024
 
 #: Parity-check columns 1..31 of the Hamming code: the syndrome of bit k (from 0) is k + 1.
 _SYNDROME = np.arange(1, 32, dtype=np.uint32)
-
-
-def fingerprints(texts: list[bytes | None], size: int, lanes: int) -> np.ndarray:
-    """(texts, lanes) 64-bit SimHash fingerprints of word shingles; the first lane is of the plain XXH64."""
+#: The eight bits of a byte, each in a byte of its own.
+_SPREAD = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.uint8).view("<u8")[:, 0]
+#: Hashes whose bits are summed at once: bytes hold sums up to 255.
+_SUMMED = 255
+
+
+def bit_counts(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(groups, 64): how many hashes of each group have each bit; groups start at ``begin`` and none is empty."""
+    sizes = np.diff(np.append(begin, len(hashes)))
+    parts = -(-sizes // _SUMMED)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(begin - _SUMMED * first, parts) + _SUMMED * np.arange(parts.sum())
+    ends = np.append(cuts[1:], len(hashes))
+    sums = np.empty((len(cuts), 8), dtype="<u8")
+    for s in range(0, len(cuts), 1024):
+        cut = cuts[s : s + 1024]
+        own = hashes[cut[0] : ends[s + len(cut) - 1]].astype("<u8").view(np.uint8).reshape(-1, 8)
+        sums[s : s + len(cut)] = np.add.reduceat(_SPREAD[own], cut - cut[0], axis=0)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int32)
+
+
+def fingerprints(texts: list[bytes | None], size: int, lanes: int, distinct: bool = False) -> np.ndarray:
+    """(texts, lanes) 64-bit SimHash fingerprints of word shingles; the first lane is of the plain XXH64.
+
+    ``distinct``: a text's repeated shingles count once.
+    """
     out = np.zeros((len(texts), lanes), dtype=np.uint64)
     for a, b in slices(texts):
         words = Words(texts[a:b], SPACED, lower=True)
@@ -44,15 +68,19 @@ def fingerprints(texts: list[bytes | None], size: int, lanes: int) -> np.ndarray
         first = words.first[:-1][whose] + (np.arange(len(whose)) - np.repeat(np.cumsum(grams) - grams, grams))
         last = np.where(short[whose], words.first[1:][whose], first + size)
         hashes = np.fromiter((xxhash.xxh64_intdigest(data[x:y], 42) for x, y in zip(at[first].tolist(), (at[last] - 1).tolist())), dtype=np.uint64, count=len(whose))
+        if distinct:
+            order = np.lexsort((hashes, whose))
+            hashes, whose = hashes[order], whose[order]
+            new = np.ones(len(whose), dtype=bool)
+            new[1:] = (whose[1:] != whose[:-1]) | (hashes[1:] != hashes[:-1])
+            hashes, grams = hashes[new], np.bincount(whose[new], minlength=b - a)
         has = np.flatnonzero(grams)
         if not len(has):
             continue
         begin = (np.cumsum(grams) - grams)[has]
         for lane in range(lanes):
             h = hashes if lane == 0 else mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-            top = 2 * ones > grams[has][:, None]
+            top = 2 * bit_counts(h, begin) > grams[has][:, None]
             out[a + has, lane] = np.packbits(top, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
@@ -88,97 +116,132 @@ def _unpacked(prints: list[bytes], lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(prints), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
 
 
-def _blocks(fp: np.ndarray) -> np.ndarray:
-    """(n, 2 * lanes) 32-bit blocks."""
-    return np.ascontiguousarray(fp.astype("<u8")).view("<u4")
+def blocks_of(fp: np.ndarray, arrangements: int):
+    """The 32-bit blocks, one after another, of (n, lanes) fingerprints; each arrangement has all bits, in an order of its own."""
+    plain = np.ascontiguousarray(fp.astype("<u8"))
+    yield from plain.view("<u4").T
+    bits = np.unpackbits(plain.view(np.uint8), axis=1, bitorder="little") if arrangements > 1 else None
+    for r in range(1, arrangements):
+        order = np.random.default_rng(r).permutation(bits.shape[1])
+        yield from np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u4").T
 
 
-def _links(classes: DataFrame, lanes: int, distance: int) -> DataFrame:
+def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangements: int) -> DataFrame:
     """Links (a, b) between class ids that join all classes within ``distance`` bits found at the anchors."""
 
     def deal(batches):
         for batch in batches:
             fp = _unpacked(batch["fp"].to_pylist(), lanes)
             cls = batch["cls"].to_numpy()
-            for k, block in enumerate(_blocks(fp).T):
-                home = homes(block)
-                who, near = replicas(block)
-                anchor = np.concatenate([home, near]).astype(np.int64) | (k << 32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(np.concatenate([cls, cls[who]])), pa.array(np.concatenate([np.ones(len(home), bool), np.zeros(len(near), bool)]))], ["anchor", "cls", "home"]
-                )
+            for k, block in enumerate(blocks_of(fp, arrangements)):
+                anchor = home = homes(block)
+                who = np.arange(len(home))
+                if within:
+                    other, near = replicas(block)
+                    away = near != home[other]
+                    anchor, who = np.concatenate([home, near[away]]), np.concatenate([who, other[away]])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64) | (k << 32)), pa.array(cls[who]), pa.array(np.arange(len(who)) < len(home))], ["anchor", "cls", "home"])
 
     dealt = classes.mapInArrow(deal, "anchor bigint, cls bigint, home boolean")
-    # anchors that are home to a class and meet another one, in tiles if there are many
-    tiles = (
-        dealt.groupBy("anchor")
-        .agg(F.count_if(F.col("home")).alias("homes"), F.count_if(~F.col("home")).alias("near"))
-        .where("homes > 0 and near > 1")
-        .select("anchor", F.ceil(F.col("homes") / TILE).cast("int").alias("rows"), F.ceil(F.col("near") / TILE).cast("int").alias("cols"))
+    # anchors that are home to a class and meet another one; the pivot is one of those at home
+    anchors = (
+        dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"), F.min(F.when(F.col("home"), F.col("cls"))).alias("pivot")).where("homes > 0 and n > 1")
     )
-    met = checkpoint(dealt.join(tiles, "anchor"))
+    met = checkpoint(dealt.join(anchors, "anchor"))
+
+    @F.arrow_udf("int")
+    def bits_apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64) for c in (a, b))
+        return pa.array(bits_set(x ^ y).reshape(-1, lanes).sum(axis=1), pa.int32())
+
+    pairs = met.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    shown = pairs.join(classes.select(F.col("cls").alias("b"), F.col("fp").alias("fp_b")), "b").join(classes.select(F.col("cls").alias("a"), F.col("fp").alias("fp_a")), "a")
+    stars = checkpoint(shown.where(bits_apart("fp_a", "fp_b") <= distance).select("a", "b"))
+
+    # two classes at an anchor are settled by now; of more, those anchors are left where several groups meet
+    groups = connected_components(stars, "a", "b").select(F.col("node").alias("cls"), "component")
+    named = met.where("n > 2").join(groups, "cls", "left").select("anchor", "cls", "home", "n", "homes", F.coalesce("component", "cls").alias("grp"))
+    mixed = named.groupBy("anchor").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least != most").select("anchor")
+    parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    left = checkpoint(named.join(mixed, "anchor").select("anchor", "cls", "home", "grp", parts("homes").alias("rows"), parts("n").alias("cols"), (F.col("homes") == F.col("n")).alias("alike")))
+
+    # classes at home in rows of tiles, all classes in columns; if all are at home, half the tiles will do
     tile = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tiled = met.where(F.col("home")).select("anchor", "cls", "home", tile("rows").alias("i"), every("cols").alias("j")).unionByName(
-        met.where(~F.col("home")).select("anchor", "cls", "home", tile("cols").alias("j"), every("rows").alias("i"))
+    in_rows = left.where("home").withColumn("i", tile("rows"))
+    in_cols = left.withColumn("j", tile("cols"))
+    tiled = in_rows.select("anchor", "cls", "grp", F.lit(True).alias("row"), "i", F.explode(F.sequence(F.when(F.col("alike"), F.col("i")).otherwise(0), F.col("cols") - 1)).alias("j")).unionByName(
+        in_cols.select("anchor", "cls", "grp", F.lit(False).alias("row"), F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), F.col("j")).otherwise(F.col("rows") - 1))).alias("i"), "j")
     )
-    shown = tiled.join(classes, "cls")
-    tiles_of = shown.groupBy("anchor", "i", "j").agg(
-        F.collect_list(F.when(F.col("home"), F.struct("cls", "fp"))).alias("homes"), F.collect_list(F.when(~F.col("home"), F.struct("cls", "fp"))).alias("near")
+    entry = F.struct("cls", "grp", "fp")
+    tiles = (
+        tiled.join(classes, "cls")
+        .groupBy("anchor", "i", "j")
+        .agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.collect_list(F.when(F.col("row"), entry)).alias("rows"), F.collect_list(F.when(~F.col("row"), entry)).alias("cols"))
+        .where("least != most")
     )
 
     def compare(batches):
         for batch in batches:
             a_out, b_out = [], []
-            for homes_, near_ in zip(batch["homes"].to_pylist(), batch["near"].to_pylist()):
-                ids = np.array([x["cls"] for x in homes_ + near_], dtype=np.int64)
-                fp = _unpacked([x["fp"] for x in homes_ + near_], lanes)
-                ids, at, back = np.unique(ids, return_index=True, return_inverse=True)
-                fp = fp[at]
-                h, r = back[: len(homes_)], back[len(homes_) :]
-                label = np.arange(len(ids))
+            for rows, cols in zip(batch["rows"].to_pylist(), batch["cols"].to_pylist()):
+                every = rows + cols
+                ids, at, back = np.unique(np.array([x["cls"] for x in every], dtype=np.int64), return_index=True, return_inverse=True)
+                fp = _unpacked([x["fp"] for x in every], lanes)[at]
+                _, least, own = np.unique(np.array([x["grp"] for x in every], dtype=np.int64)[at], return_index=True, return_inverse=True)
+                label = before = least[own]
+                h, r = back[: len(rows)], back[len(rows) :]
                 for begin in range(0, len(h), 256):
                     part = h[begin : begin + 256]
-                    apart = np.zeros((len(part), len(r)), dtype=np.int16)
+                    x, y = np.nonzero(label[part][:, None] != label[r][None, :])
+                    x, y = part[x], r[y]
+                    apart = np.zeros(len(x), dtype=np.int32)
                     for lane in range(lanes):
-                        apart += bits_set(fp[part, lane][:, None] ^ fp[r, lane][None, :])
-                    x, y = np.nonzero(apart <= distance)
-                    label = local_components(len(ids), np.concatenate([part[x], np.arange(len(ids))]), np.concatenate([r[y], label]))
-                linked = np.flatnonzero(label != np.arange(len(ids)))
-                a_out.append(ids[linked])
-                b_out.append(ids[label[linked]])
+                        apart += bits_set(fp[x, lane] ^ fp[y, lane])
+                        if lane % 4 == 3:
+                            near = apart <= distance
+                            x, y, apart = x[near], y[near], apart[near]
+                    near = apart <= distance
+                    label = local_components(len(ids), np.concatenate([x[near], np.arange(len(ids))]), np.concatenate([y[near], label]))
+                moved = np.flatnonzero(label != before)
+                a_out.append(ids[moved])
+                b_out.append(ids[label[moved]])
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
-    return tiles_of.mapInArrow(compare, "a bigint, b bigint")
+    return stars.unionByName(tiles.select("rows", "cols").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def with_fingerprints(docs: DataFrame, text: str, size: int, lanes: int, name: str) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str, size: int, lanes: int, name: str, distinct: bool = False) -> DataFrame:
     @F.arrow_udf("binary")
     def fingerprint(column: pa.Array) -> pa.Array:
-        return pa.array([x.tobytes() for x in fingerprints(texts_of(column), size, lanes).astype(">u8")], pa.binary())
+        return pa.array([x.tobytes() for x in fingerprints(texts_of(column), size, lanes, distinct).astype(">u8")], pa.binary())
 
     return docs.withColumn(name, fingerprint(as_binary(text)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 256, distance: int = 38) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 2048, distance: int = 320, within: int = 0, arrangements: int = 3, distinct: bool = True
+) -> DataFrame:
     """(doc_id, fp, component_id) for every document; fp is its fingerprint (binary, big-endian words).
 
     Documents link at ``distance`` or fewer differing bits; component_id is the smallest
-    doc_id that links reach.  Pairs of up to ``2 * blocks - 1`` bits (blocks = bits / 32)
-    are found with certainty (3 of 64, 15 of 256).  Farther pairs are found if some
-    block differs in one bit at most.  With words of ``size`` 5, 38 of 256 bits stand
-    for a similarity of 0.8.  Texts of no words (null too) share fingerprint zero and
-    link like any other; a null doc_id links no one but takes its class's component.
-    Repeated rows give repeated rows; an empty table an empty one.
+    doc_id that links reach.  Pairs of fewer than ``blocks * (within + 1)`` bits (blocks =
+    bits / 32) are found with certainty (3 of 64 with ``within`` 1).  Farther pairs are
+    found if they meet at an anchor of one of ``arrangements`` cuts into blocks.  With words
+    of ``size`` 5, each shingle of a text counted once, 320 of 2048 bits stand for a
+    similarity of 0.8 (within about 0.02); with three cuts such pairs meet with a
+    probability of 0.9, those of 0.85 with 0.99, and more similar ones nearly always.
+    Texts of no words (null too) share fingerprint zero and link like any other; a null
+    doc_id links no one but takes its class's component.  Repeated rows give repeated
+    rows; an empty table an empty one.
     """
     lanes = bits // 64
-    prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), "body", size, lanes, "fp").drop("body")
+    prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), "body", size, lanes, "fp", distinct).drop("body")
     prints = checkpoint(prints)
     # a class is the documents of one fingerprint; its number is the fingerprint, or a hash of a longer one
     number = F.conv(F.hex("fp"), 16, -10).cast("bigint") if lanes == 1 else F.xxhash64("fp")
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", number))
-    found = connected_components(_links(classes.select("cls", "fp"), lanes, distance), "a", "b")
+    found = connected_components(_links(classes.select("cls", "fp"), lanes, distance, within, arrangements), "a", "b")
     named = checkpoint(classes.join(found, classes.cls == found.node, "left").select("fp", "least", F.coalesce("component", "cls").alias("group")))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(least, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -193,5 +256,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = near_duplicates(docs, size=3, bits=64, distance=3)
+    found = near_duplicates(docs, size=3, bits=64, distance=3, within=1, arrangements=1, distinct=False)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

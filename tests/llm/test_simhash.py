@@ -39,7 +39,7 @@ def corpus():
 def test_matches_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id, bytes(r.fp).hex(), r.component_id) for r in simhash.near_duplicates(docs, size=3, bits=64, distance=3).collect())
+    got = sorted((r.doc_id, bytes(r.fp).hex(), r.component_id) for r in simhash.near_duplicates(docs, size=3, bits=64, distance=3, within=1, arrangements=1, distinct=False).collect())
     fps = [(d, brute.simhash(t)) for d, t in rows]
     links = [(a, b) for a, x in fps for b, y in fps if a < b and (x ^ y).bit_count() <= 3]
     up = brute.components({d for d, _ in fps}, links)
@@ -63,6 +63,47 @@ def test_tiles_and_wide_fingerprints(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, *range(100, 120)]
 
 
+def test_bit_counts():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    begin = np.array([0, 1, 256, 511, 2000])
+    want = [[sum(int(h) >> k & 1 for h in part) for k in range(64)] for part in np.split(hashes, begin[1:])]
+    assert simhash.bit_counts(hashes, begin).tolist() == want
+
+
+def test_finds_copies_at_the_threshold(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows, similar = [], []
+    for i in range(60):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for k in range(1 + i % 6):
+            copy[20 + 40 * k] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        shingles = [{tuple(t[k : k + 5]) for k in range(296)} for t in (base, copy)]
+        similar.append(len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[d] in (d, d - d % 2) for d, _ in rows)
+    sure = [i for i, s in enumerate(similar) if s > 0.85]
+    assert len(sure) >= 40 and all(got[2 * i + 1] == 2 * i for i in sure)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 55
+
+
+def test_groups_meet_at_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for _ in range(40):  # chains of small steps from one another, so no pivot sees all of them
+        prints.add(rng.choice(sorted(prints)) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    prints = sorted(prints)
+    classes = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in enumerate(prints)], "cls bigint, fp binary")
+    links = [(r.a, r.b) for r in simhash._links(classes, 1, 3, 1, 1).collect()]
+    want = [(i, j) for i, p in enumerate(prints) for j, q in enumerate(prints) if i < j and (p ^ q).bit_count() <= 3]
+    assert brute.components(set(range(len(prints))), links) == brute.components(set(range(len(prints))), want)
+
+
 def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, "q r s t"), (4, None)], "doc_id bigint, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
