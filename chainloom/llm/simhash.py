@@ -31,8 +31,8 @@ TILE = 1024
 
 #: Parity-check columns 1..31 of the Hamming code: the syndrome of bit k (from 0) is k + 1.
 _SYNDROME = np.arange(1, 32, dtype=np.uint32)
-#: The eight bits of a byte, each in a byte of its own.
-_SPREAD = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.uint8).view("<u8")[:, 0]
+#: The lowest bit of each byte of a 64-bit number.
+_LOW_BITS = np.uint64(0x0101010101010101)
 #: Hashes whose bits are summed at once: bytes hold sums up to 255.
 _SUMMED = 255
 
@@ -43,13 +43,11 @@ def bit_counts(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     parts = -(-sizes // _SUMMED)
     first = np.cumsum(parts) - parts
     cuts = np.repeat(begin - _SUMMED * first, parts) + _SUMMED * np.arange(parts.sum())
-    ends = np.append(cuts[1:], len(hashes))
     sums = np.empty((len(cuts), 8), dtype="<u8")
-    for s in range(0, len(cuts), 1024):
-        cut = cuts[s : s + 1024]
-        own = hashes[cut[0] : ends[s + len(cut) - 1]].astype("<u8").view(np.uint8).reshape(-1, 8)
-        sums[s : s + len(cut)] = np.add.reduceat(_SPREAD[own], cut - cut[0], axis=0)
-    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int32)
+    for k in range(8):  # bit k of all eight bytes
+        sums[:, k] = np.add.reduceat(hashes >> np.uint64(k) & _LOW_BITS, cuts)
+    by_bit = sums.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+    return np.add.reduceat(by_bit, first, axis=0, dtype=np.int32)
 
 
 def fingerprints(texts: list[bytes | None], size: int, lanes: int, distinct: bool = False) -> np.ndarray:
