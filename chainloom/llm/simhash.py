@@ -28,6 +28,8 @@ from chainloom.llm.shared import SPACED, Words, as_binary, bits_set, checkpoint,
 
 #: Classes of one tile at a hot anchor.
 TILE = 1024
+#: Rows that a task deals to anchors (about), and classes that it deals at once.
+DEALT, CHUNK = 1 << 19, 2048
 
 #: Parity-check columns 1..31 of the Hamming code: the syndrome of bit k (from 0) is k + 1.
 _SYNDROME = np.arange(1, 32, dtype=np.uint32)
@@ -128,7 +130,7 @@ def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangeme
     """Links (a, b) between class ids that join all classes within ``distance`` bits found at the anchors."""
 
     def deal(batches):
-        for batch in batches:
+        for batch in (whole.slice(s, CHUNK) for whole in batches for s in range(0, whole.num_rows, CHUNK)):
             fp = _unpacked(batch["fp"].to_pylist(), lanes)
             cls = batch["cls"].to_numpy()
             for k, block in enumerate(blocks_of(fp, arrangements)):
@@ -238,7 +240,9 @@ def near_duplicates(
     prints = checkpoint(prints)
     # a class is the documents of one fingerprint; its number is the fingerprint, or a hash of a longer one
     number = F.conv(F.hex("fp"), 16, -10).cast("bigint") if lanes == 1 else F.xxhash64("fp")
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", number))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", number)
+    rows = prints.count() * 2 * lanes * arrangements * (18 if within else 1)
+    classes = checkpoint(classes.repartition(max(1, -(-rows // DEALT)), "cls"))
     found = connected_components(_links(classes.select("cls", "fp"), lanes, distance, within, arrangements), "a", "b")
     named = checkpoint(classes.join(found, classes.cls == found.node, "left").select("fp", "least", F.coalesce("component", "cls").alias("group")))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
