@@ -190,6 +190,29 @@ def _grow(points: DataFrame, kind: str) -> tuple[DataFrame, DataFrame | None]:
     return leaves.select("rep", "n", "vec", "root", "leaf"), checkpoint(edges)
 
 
+def _balls(blobs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, ball) of leaves and all nodes above them; a ball (center, radius) covers whatever is below its node."""
+    tree = blobs.select(F.col("leaf").alias("node"), "root", "center", "radius", F.length("reps").alias("weight"))
+    waiting = checkpoint(edges.join(edges.groupBy("parent").agg(F.count("*").alias("children")), "parent"))
+    for _ in range(LEVELS + 2):
+        if not waiting.take(1):
+            break
+        above = waiting.join(tree, "node")
+        dim = F.size(F.first("center"))
+        wide = above.groupBy("parent", "root", "children").agg(F.collect_list(F.struct("center", "radius", "weight")).alias("below"), dim.alias("dim"))  # CHILDREN, or parts of one node
+        wide = wide.where(F.size("below") == F.col("children"))  # its children may end at different depths: a node waits for all of them
+        total = F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"])
+        middle = F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda k: F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"] * F.get(x["center"], k)) / F.col("total"))
+        balls = wide.withColumn("total", total).withColumn("center", middle)
+        reach = F.array_max(F.transform("below", lambda x: _gap(x["center"], F.col("center")) + x["radius"]))
+        up = checkpoint(balls.select(F.col("parent").alias("node"), "root", "center", reach.alias("radius"), F.col("total").alias("weight")))
+        tree = tree.unionByName(up)
+        waiting = checkpoint(waiting.join(up.select(F.col("node").alias("parent")), "parent", "left_anti"))
+    else:
+        raise RuntimeError("nodes of the cover tree are left without a ball")
+    return checkpoint(tree.select("node", "root", F.struct("center", "radius").alias("ball")))
+
+
 def _child(parent: int, k: int) -> int:
     """A number for the k-th child of a node."""
     x = np.array([(parent * 0x9E3779B97F4A7C15 + (k + 1) * 0xD6E8FEB86659FD93) % (1 << 64)], dtype=np.uint64)
@@ -241,25 +264,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     blobs = checkpoint(leaves.groupBy("leaf").applyInArrow(pack, "leaf bigint, root bigint, reps binary, ns binary, vecs binary, center array<double>, radius double"))
 
-    # nodes above the leaves: center, radius (over what is below) and children, from the leaves up
-    ball = blobs.select(F.col("leaf").alias("node"), "root", "center", "radius", F.length("reps").alias("weight"))
-    tree = ball
-    up = ball
-    for _ in range(LEVELS + 2):
-        above = edges.join(up.select("node", "root", "center", "radius", "weight"), "node")
-        if not above.take(1):
-            break
-        dim = F.size(F.first("center"))
-        wide = above.groupBy("parent", "root").agg(F.collect_list(F.struct("center", "radius", "weight")).alias("below"), dim.alias("dim"))  # CHILDREN, or parts of one node
-        total = F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"])
-        middle = F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda k: F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"] * F.get(x["center"], k)) / F.col("total"))
-        balls = wide.withColumn("total", total).withColumn("center", middle)
-        reach = F.array_max(F.transform("below", lambda x: _gap(x["center"], F.col("center")) + x["radius"]))
-        up = checkpoint(balls.select(F.col("parent").alias("node"), "root", "center", reach.alias("radius"), F.col("total").alias("weight")))
-        tree = tree.unionByName(up)
-    # a node may be met on several rounds if its children end at different depths: the last round has all of them
+    tree = _balls(blobs, edges)
     inner = edges.select(F.col("parent").alias("node")).distinct()
-    tree = checkpoint(tree.groupBy("node", "root").agg(F.max_by(F.struct("center", "radius"), "weight").alias("ball")))
     info = tree.select("node", "ball")
     lower = edges.select("parent", "node").unionByName(tree.join(inner, "node", "left_anti").select(F.col("node").alias("parent"), "node"))
     lower = checkpoint(lower.join(info, "node"))

@@ -64,3 +64,16 @@ def test_empty_and_unsplittable(spark, monkeypatch):
     rows = [(i, [1.0, 1e-6 * i], 1) for i in range(30)]
     got = e.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
     assert {(r.n_links, r.component_id) for r in got.collect()} == {(29, 0)}
+
+
+def test_balls_cover_leaves_of_unequal_depth(spark):
+    leaves = {3: [0.0, 1.0], 4: [1.0, 0.0], 6: [0.6, 0.8], 7: [0.8, 0.6]}
+    below = {1: [2, 3], 2: [4, 5], 5: [6, 7]}
+    blobs = spark.createDataFrame([(k, 1, bytes(8), c, 0.01) for k, c in leaves.items()], "leaf bigint, root bigint, reps binary, center array<double>, radius double")
+    edges = spark.createDataFrame([(p, k) for p, kids in below.items() for k in kids], "parent bigint, node bigint")
+    got = {r.node: r.ball for r in e._balls(blobs, edges).collect()}
+    under = lambda k: [x for kid in below[k] for x in under(kid)] if k in below else [k]
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
+    for k, ball in got.items():
+        for leaf in under(k):
+            assert np.linalg.norm(np.subtract(ball.center, leaves[leaf])) + 0.01 <= ball.radius + 1e-12
