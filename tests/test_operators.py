@@ -104,3 +104,14 @@ def test_payload_errors(spark):
     assert [(r.tx_hash, r.trace_id, r.value) for r in got] == [("u", "call_u", str(2**256 - 1))]
     errs = spark.createDataFrame([("null",), ('"AccountInUse"',), ('{"InstructionError":[0,{"Custom":1}]}',), (None,)], "err string")
     assert [r[0] for r in errs.select(parse_other.solana_error("err")).collect()] == [None, "AccountInUse", "InstructionError", None]
+
+
+def test_removals_at_the_edges_of_runs(spark):
+    add = lambda i, h: (0, i, "BLOCK_ADDED", 1, h, f"h{h}", f"h{h - 1}", False)
+    gone = lambda i, h, tag=1, skipped=False: (0, i, "BLOCK_REMOVED", tag, h, f"h{h}", f"h{h - 1}", skipped)
+    begin = [add(i, i) for i in range(1, 10)]
+    errors_of = lambda rows: [r.error for r in fold.stack_errors(spark.createDataFrame(begin + rows, SCHEMA), 10).orderBy("part").collect()]
+    assert errors_of([gone(10, 9), gone(11, 8), add(12, 8)]) == ["", ""]
+    assert errors_of([gone(10, 9, tag=2), gone(11, 8)]) == ["", "event 10 removes another block"]
+    assert errors_of([gone(10, 9), gone(11, 8, skipped=True)]) == ["", "event 11 removes another block"]
+    assert errors_of([gone(10, 9), gone(11, 9)]) == ["", "event 11 removes another block"]
