@@ -74,9 +74,14 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram counts of at most ``sample`` documents a language (by hash of the text); null languages don't count."""
+    """Trigram counts of at most ``sample`` documents a language (by hash of the text); null languages don't count.
+
+    Raises ValueError if there are more than LANGUAGES languages.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.lower(lang).alias("known"), as_binary(text).alias("body"))
-    sizes = known.groupBy("known").count().orderBy(F.desc("count"), "known").limit(LANGUAGES).collect()  # as many rows as languages
+    sizes = known.groupBy("known").count().limit(LANGUAGES + 1).collect()  # as many rows as languages
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
     languages = sorted(r["known"] for r in sizes)
     share = {r["known"]: min(1.0, sample / r["count"]) for r in sizes}
     if not languages:

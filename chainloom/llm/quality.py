@@ -22,6 +22,8 @@ from chainloom.llm.shared import ALNUM, Words, as_binary, byte_table, slices, sq
 
 #: Rated documents of each grade that the model is fitted to, at most.
 SAMPLE = 3000
+#: Grades, at most.
+GRADES = 100
 BUCKETS = 1 << 18
 #: Runs of ASCII signs.
 SIGNS = byte_table(keep="!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -125,10 +127,13 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     """Fit to at most ``sample`` documents of each grade, chosen by a hash of the id.
 
     Rows with a null id or grade don't count.  With fewer than two grades every document
-    gets the probability 1/2 or, with one, that grade.
+    gets the probability 1/2 or, with one, that grade.  Raises ValueError if there are more
+    than GRADES grades.
     """
     clean = ratings.select(F.col(doc_id).alias("rated"), F.col(grade).cast("int").alias("rating")).where("rated is not null and rating is not null").dropDuplicates(["rated"])
-    grades = sorted(r["rating"] for r in clean.groupBy("rating").count().orderBy("rating").limit(100).collect())
+    grades = sorted(r["rating"] for r in clean.select("rating").distinct().limit(GRADES + 1).collect())
+    if len(grades) > GRADES:
+        raise ValueError(f"there are more than {GRADES} grades")
     if len(grades) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), np.zeros(DENSE), np.full(max(len(grades) - 1, 0), 0.0), grades or [0])
     by_hash = F.xxhash64("rated")

@@ -1,6 +1,8 @@
 import math
 from collections import defaultdict
 
+import pytest
+
 from chainloom.llm import language
 
 
@@ -75,3 +77,9 @@ def test_held_out_and_empty(spark):
     assert all(r.lang == r._lang for r in out.collect())
     assert language.identify(rest.limit(0), model).count() == 0
     assert language.identify(rest, language.train(documents(spark).limit(0))).where("_lang is null").count() == 20
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language.train(documents(spark))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from chainloom.llm import quality
 
@@ -50,3 +51,10 @@ def test_edges(spark):
     assert quality.score(docs.limit(0), quality.train(docs, one)).count() == 0
     two = spark.createDataFrame([(7, 3), (8, 1)], "doc_id bigint, grade int")
     assert quality.score(docs, quality.train(docs, two)).count() == 4
+
+
+def test_too_many_grades(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GRADES", 2)
+    docs = spark.createDataFrame([(i, "a b c", i) for i in range(3)], "doc_id bigint, text string, grade int")
+    with pytest.raises(ValueError, match="more than 2 grades"):
+        quality.train(docs, docs)
