@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainloom.functions.scalars import clean_address, clean_hex, hex_to_decimal, hex_to_long, to_timestamp
+from chainloom.operators import reads
 
 #: keccak("Transfer(address,address,uint256)"), the same for both token standards.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -219,8 +220,8 @@ def parity_errors(traces: DataFrame) -> DataFrame:
 
 
 def without_known_duplicates(txs: DataFrame, known: DataFrame) -> DataFrame:
-    """Transactions without those of a short list (number, position) of duplicates that nodes are known to send."""
-    return txs.join(F.broadcast(known.limit(10_000)), ["number", "position"], "left_anti")
+    """Transactions without those of a list (number, position) of duplicates that nodes are known to send."""
+    return reads.by_keys(txs, known, ["number", "position"], how="left_anti")
 
 
 def effective_traces(found: DataFrame, txs: DataFrame, ignored: str = "ignored") -> DataFrame:

@@ -211,10 +211,10 @@ def blocks_of_transactions(index: DataFrame, writes: DataFrame) -> DataFrame:
     return index.join(blocks, ["tag", "block_number", "block_hash"])
 
 
-def by_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = 100_000) -> DataFrame:
-    """Rows of a list of keys, which is broadcast up to ``bound`` keys and shuffled beyond it."""
+def by_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = 100_000, how: str = "left_semi") -> DataFrame:
+    """Rows of a list of keys (or, ``left_anti``, all others), which is broadcast up to ``bound`` keys and shuffled beyond it."""
     small = keys.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def chain_metadata(spark, chain: Chain) -> DataFrame:

@@ -73,7 +73,7 @@ class Session:
         t = self._tag(tag)
         index = self.store.read("tx_index").where((F.col("tag") == t) & (F.col("tx_hash") == tx_hash))
         heights = index.select(F.col("block_number").alias("height")).distinct()
-        writes = self.store.read("block_meta").where(F.col("tag") == t).join(F.broadcast(heights.limit(10_000)), "height", "left_semi")
+        writes = reads.by_keys(self.store.read("block_meta").where(F.col("tag") == t), heights, ["height"])
         return reads.blocks_of_transactions(index, writes)
 
     def get_chain_events(self, event_tag: int = 0, sequence: str = "", initial_position: str = "", sequence_num: int = 0, max_events: int = 0) -> DataFrame:

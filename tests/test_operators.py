@@ -115,3 +115,8 @@ def test_removals_at_the_edges_of_runs(spark):
     assert errors_of([gone(10, 9, tag=2), gone(11, 8)]) == ["", "event 10 removes another block"]
     assert errors_of([gone(10, 9), gone(11, 8, skipped=True)]) == ["", "event 11 removes another block"]
     assert errors_of([gone(10, 9), gone(11, 9)]) == ["", "event 11 removes another block"]
+
+
+def test_more_known_duplicates_than_a_broadcast_held(spark):
+    txs = spark.range(12_000).selectExpr("id AS number", "0 AS position")
+    assert parse_evm.without_known_duplicates(txs, txs.where("number < 11000")).count() == 1000
