@@ -1,8 +1,10 @@
-"""Connected components of link tables, by alternating large-star and small-star rounds.
+"""Connected components of link tables, by hooking, pointer jumping and contraction.
 
-Links stay distributed: each round is two aggregations and two joins on a node, and a
-reliable checkpoint.  A hot node's rows are pre-aggregated before its shuffle, and the
-join against one row per node is one that Spark can split.
+Links stay distributed.  Each round hooks every node to its least smaller neighbour (an
+aggregation with partial results, so hot nodes are summed before their shuffle), jumps
+along the hooks until they end at roots, and replaces links by links between roots, which
+are few after a round or two.  All joins are between written tables, which Spark can split
+where a key is hot, and broadcasts where they are small.
 """
 
 from __future__ import annotations
@@ -10,50 +12,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.shared import checkpoint
+from chainloom.llm.shared import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours (the larger ones, or the smaller and itself) to its least."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
-    if large:
-        moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.where("a != m").select("a", F.col("m").alias("b"))
-        )
-    return moved.where("a != b").distinct()
+def _ordered(a, b) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+def _roots(hooks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, p, moved) with p the end of each node's chain of hooks, which lead to smaller nodes; chains double with each jump."""
+    while True:
+        on = hooks.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        jumped = scratch.write(hooks.join(on, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
+        scratch.remove(hooks)
+        hooks = jumped
+        if jumped.where("moved").isEmpty():
+            return jumped
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of the links, component = smallest reachable node.
 
     Null ends and self-links are ignored, repeated links count once; no links give no
-    rows.  Raises if it hasn't settled after ``max_rounds`` (it needs about log2 of the
-    longest chain).
+    rows.  Raises if links are left after ``max_rounds``.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-    e = checkpoint(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(e)
+    first = e = scratch.write(e.select(*_ordered("a", "b")).distinct())
+    named = None
     for _ in range(max_rounds):
-        if not before["n"]:
-            break
-        e = checkpoint(_star(_star(e, large=True), large=False))
-        now = _state(e)
-        if now == before:
+        if e.isEmpty():
             break
-        before = now
+        hooks = scratch.write(e.groupBy("a").agg(F.min("b").alias("p")))
+        roots = _roots(hooks, scratch)
+        of = lambda c: roots.select(F.col("a").alias(c), F.col("p").alias(f"{c}_root"))
+        moved = e.join(of("a"), "a").join(of("b"), "b", "left")
+        left = scratch.write(moved.select(*_ordered(F.col("a_root"), F.coalesce("b_root", "b"))).where("a != b").distinct())
+        if e is not first:
+            scratch.remove(e)
+        if named is None:
+            named = roots
+        else:  # what led to a node that has hooked since goes on to its root
+            on = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            longer = scratch.write(named.join(on, "p", "left").select("a", F.coalesce("q", "p").alias("p")).unionByName(roots.select("a", "p").join(named.select("a"), "a", "left_anti")))
+            scratch.remove(named, roots)
+            named = longer
+        e = left
     else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+        raise RuntimeError(f"links are left after {max_rounds} rounds")
+    if named is None:
+        return first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = named.select(F.col("a").alias("node"), F.col("p").alias("component"))
+    return found.unionByName(named.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())

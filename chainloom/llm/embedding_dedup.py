@@ -3,15 +3,17 @@
 Vectors of a label are put on the unit sphere, where cosine >= c means a distance of at
 most t = sqrt(2 - 2c).  A cover tree is grown in Spark, level by level: a node of too many
 vectors picks centers from a bounded sample of its own, apart by half the distance of the
-level above, and its vectors go to their nearest center.  Nodes keep their center and true
-covering radius.  Pairs of nodes are then followed from the roots down, by joins on the
-parent; a pair lives on only if its centers are no farther apart than both radii and t
-allow.  Pairs of leaves that are left are compared in tasks, each leaf with a cover tree of
-its own (radii halving down to single vectors), traversed in the same way.  Whatever the
-centers, no pair within t is pruned; the cosine of the pairs found is taken exactly.
+level above, and its vectors go to their nearest center.  A node's ball is its center with
+the distance of its farthest vector, so it covers whatever is below.  Pairs of nodes are
+then followed from the roots down, by joins on the parent; a pair lives on only if its
+centers are no farther apart than both radii and t allow.  Of pairs of leaves that are
+left, one leaf's vectors that its partner's ball can reach visit that partner, where cover
+trees of both (radii halving down to single vectors) are traversed in the same way.
+Whatever the centers, no pair within t is pruned; the cosine of the pairs found is taken
+exactly.
 
 Equal vectors of a label are one point with a count; links go on as counts and as a
-spanning forest, never pair by pair.
+spanning forest, never pair by pair.  Points are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.components import connected_components
-from chainloom.llm.shared import checkpoint, local_components, ranges
+from chainloom.llm.shared import Scratch, local_components, ranges
 
 #: Vectors in a leaf, children of a node, vectors that centers are picked from, levels.
 LEAF, CHILDREN, PICKED, LEVELS = 1024, 32, 512, 24
-#: Vectors of one node that are dealt to its centers in one task.
-DEALT = 8192
+#: Vectors of one node that are dealt to its centers in one task, partners of a leaf that a task holds, visitors of a leaf in one.
+DEALT, PARTNERS, VISITORS = 8192, 64, 8192
+#: Added to bounds against rounding.
+SLACK = 1e-6
 _CHUNK = 1 << 17
 
 
@@ -42,22 +46,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, ((x - y) ** 2).sum(axis=-1)))
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors from one another, within SLACK."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
+
+
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of each vector from its partner, within SLACK."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, y)))
 
 
 def _net(x: np.ndarray, radius: float, most: int, begin: list[int] | None = None) -> list[int]:
     """Greedy centers (their places in x), each farther than ``radius`` from those before it."""
-    near = np.full(len(x), np.inf)
     chosen = list(begin or [])
-    for c in chosen:
-        near = np.minimum(near, _apart(x, x[c]))
+    near = _gaps(x, x[chosen]).min(axis=1) if chosen else np.full(len(x), np.inf)
     while len(chosen) < most:
-        left = np.flatnonzero(near > radius)
-        if not len(left):
+        left = int(near.argmax())
+        if near[left] <= radius:
             break
-        chosen.append(int(left[0]))
-        near = np.minimum(near, _apart(x, x[left[0]]))
+        chosen.append(left)
+        near = np.minimum(near, _gaps(x, x[left]))
+        near[left] = 0.0
     return chosen
 
 
@@ -66,7 +75,7 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray, least: float):
         self.x = x
-        chosen, radius = [0], float(_apart(x, x[0]).max())
+        chosen, radius = [0], float(_gaps(x, x[0]).max())
         levels = [chosen]
         while radius > least and len(levels[-1]) < len(x):
             radius /= 2
@@ -80,7 +89,7 @@ class CoverTree:
         at = self.centers[-1]
         radii = [np.zeros(len(at))]
         for up, down in zip(self.centers[-2::-1], self.centers[:0:-1]):
-            gap = np.stack([_apart(x[down], x[c]) for c in up], axis=1) if len(up) < 64 else np.sqrt(np.maximum(0, 2 - 2 * x[down] @ x[up].T))
+            gap = _gaps(x[down], x[up])
             gap[np.arange(len(up)), np.arange(len(up))] = -1.0  # a center stays under itself
             parent = gap.argmin(axis=1)
             order = np.argsort(parent, kind="stable")
@@ -88,7 +97,7 @@ class CoverTree:
             self.children.append((order, starts[:-1], np.diff(starts)))
             below = parent[below]
             r = np.zeros(len(up))
-            np.maximum.at(r, below, _apart(x[at], x[up[below]]))
+            np.maximum.at(r, below, _between(x[at], x[up[below]]))
             radii.append(r)
         self.children.reverse()
         self.radii = radii[::-1]
@@ -99,7 +108,7 @@ class CoverTree:
 
 def tree_links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j) of the two trees' vectors with cosine >= ``cosine``; of one tree, i < j."""
-    t = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
+    t = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     i = j = np.zeros(1, dtype=np.int64)
     la = lb = 0
     while True:
@@ -112,7 +121,7 @@ def tree_links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray,
         keep = np.zeros(len(i), dtype=bool)
         for s in range(0, len(i), _CHUNK):
             p, q = i[s : s + _CHUNK], j[s : s + _CHUNK]
-            keep[s : s + _CHUNK] = _apart(a.x[a.centers[la][p]], b.x[b.centers[lb][q]]) <= a.radii[la][p] + b.radii[lb][q] + t
+            keep[s : s + _CHUNK] = _between(a.x[a.centers[la][p]], b.x[b.centers[lb][q]]) <= a.radii[la][p] + b.radii[lb][q] + t
         i, j = i[keep], j[keep]
         if la == a.depth() and lb == b.depth():
             x, y = a.centers[la][i], b.centers[lb][j]
@@ -140,77 +149,84 @@ def tree_links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray,
     return x[out], y[out]
 
 
-def _grow(points: DataFrame, kind: str) -> tuple[DataFrame, DataFrame | None]:
-    """Points with their leaf, and the tree's edges (parent, node).  Leaves are nodes of LEAF vectors at most, or parts of one that can't be split."""
-    edges = None
-    node = points.select("rep", "n", "vec", F.xxhash64("label", F.length("vec")).alias("root"), F.lit(2.0).alias("radius")).withColumn("node", F.col("root"))
-    node = checkpoint(node)
-    for level in range(LEVELS):
-        sizes = node.groupBy("node").agg(F.count("*").alias("size"), F.max("radius").alias("r")).where((F.col("size") > LEAF) & (F.col("r") > 0))
-        sizes = checkpoint(sizes)
-        if not sizes.take(1):
+def _grow(points: DataFrame, kind: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pid, n, vec, leaf) of all points, and the tree: (parent, node, center, radius).
+
+    A leaf has LEAF vectors at most, or is part of a node that can't be split.  Roots are
+    named by label and length; a root's ball is the whole sphere.
+    """
+    node = points.select("pid", "n", "vec", F.col("root").alias("node"), F.lit(2.0).alias("apart"))
+    ended, balls = [], []
+    for level in range(LEVELS + 1):
+        sizes = node.groupBy("node").agg(F.count("*").alias("size"), F.max("apart").alias("apart")).where((F.col("size") > LEAF) & (F.col("apart") > 0))
+        sizes = scratch.write(sizes if level < LEVELS else sizes.where("false"))
+        ended.append(node.join(sizes, "node", "left_anti").select("pid", "n", "vec", "node"))
+        if sizes.isEmpty():
             break
-        sampled = node.join(sizes, "node").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("size")) < PICKED)
+        sampled = node.drop("apart").join(sizes, "node").where(F.pmod(F.xxhash64("pid", F.lit(level)), F.col("size")) < PICKED)
 
         def pick(table: pa.Table) -> pa.Table:
-            table = table.sort_by("rep")
+            table = table.sort_by("pid")
             x = _unit(_matrix(table["vec"].to_pylist(), kind))
-            radius = table["r"][0].as_py() / 2
-            most = int(min(CHILDREN, max(2, -(-2 * table["size"][0].as_py() // LEAF))))
-            while len(chosen := _net(x, radius, most)) < 2 and radius > 1e-3:
-                radius /= 2
-            return pa.table({"node": table["node"][:1], "size": table["size"][:1], "half": pa.array([radius if len(chosen) > 1 else 0.0]), "centers": pa.array([x[chosen].astype("<f8").tobytes()], pa.binary())})
-
-        picked = sampled.select("node", "rep", "vec", "size", "r").groupBy("node").applyInArrow(pick, "node bigint, size bigint, half double, centers binary")
-        parts = F.ceil(F.col("size") / DEALT).cast("int")
-        picked = checkpoint(picked)
-        centers = picked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("node", "part", "half", "centers")
-        large = node.join(sizes.select("node", "size"), "node").withColumn("part", F.pmod(F.xxhash64("rep"), parts)).drop("size")
-
-        def assign(some: pa.Table, held: pa.Table) -> pa.Table:
-            if not some.num_rows or not held.num_rows:
-                return some.select(["rep", "n", "vec", "root", "radius", "node"]).append_column("parent", some["node"])
+            apart, size = table["apart"][0].as_py() / 2, table["size"][0].as_py()
+            most = int(min(CHILDREN, max(2, -(-2 * size // LEAF))))
+            while len(chosen := _net(x, apart, most)) < 2 and apart > 1e-3:
+                apart /= 2
+            parent, k = table["node"][0].as_py(), len(chosen)
+            return pa.table(
+                {
+                    "parent": pa.array([parent] * k, pa.int64()),
+                    "node": pa.array([_child(parent, i) for i in range(k)], pa.int64()),
+                    "apart": pa.array([apart if k > 1 else 0.0] * k),
+                    "parts": pa.array([-(-size // DEALT)] * k, pa.int64()),
+                    "center": pa.array(x[chosen].tolist(), pa.list_(pa.float64())),
+                }
+            )
+
+        picked = scratch.write(sampled.groupBy("node").applyInArrow(pick, "parent bigint, node bigint, apart double, parts bigint, center array<double>"))
+        part = F.pmod(F.xxhash64("pid"), F.ceil(F.col("size") / DEALT))
+        large = node.select("pid", "n", "vec", "node").join(sizes.select("node", "size"), "node").withColumn("part", part).drop("size")
+        held = picked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+        def assign(some: pa.Table, centers: pa.Table) -> pa.Table:
             x = _unit(_matrix(some["vec"].to_pylist(), kind))
-            c = np.frombuffer(held["centers"][0].as_py(), dtype="<f8").reshape(-1, x.shape[1])
-            which = (x @ c.T).argmax(axis=1)
-            parent, half = some["node"][0].as_py(), held["half"][0].as_py()
-            ids = np.array([_child(parent, k) for k in range(len(c))], dtype=np.int64)
-            return pa.table({"rep": some["rep"], "n": some["n"], "vec": some["vec"], "root": some["root"], "radius": pa.array(np.full(len(x), half)), "node": pa.array(ids[which]), "parent": some["node"]})
-
-        dealt = checkpoint(large.groupBy("node", "part").cogroup(centers.groupBy("node", "part")).applyInArrow(assign, "rep bigint, n bigint, vec binary, root bigint, radius double, node bigint, parent bigint"))
-        new = dealt.select("parent", "node").distinct()
-        edges = new if edges is None else edges.unionByName(new)
-        node = checkpoint(node.join(sizes.select("node"), "node", "left_anti").unionByName(dealt.drop("parent")))
-    # what could not be split any more is cut into parts, each a child of it
-    n = node.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
-    cut = node.join(n, "node", "left").withColumn("leaf", F.when(F.col("size").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep"), F.ceil(2 * F.col("size") / LEAF)))))
-    leaves = checkpoint(cut.select("rep", "n", "vec", "root", "node", "leaf"))
-    last = leaves.where("leaf != node").select(F.col("node").alias("parent"), F.col("leaf").alias("node")).distinct()
-    edges = last if edges is None else edges.unionByName(last)
-    return leaves.select("rep", "n", "vec", "root", "leaf"), checkpoint(edges)
-
-
-def _balls(blobs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root, ball) of leaves and all nodes above them; a ball (center, radius) covers whatever is below its node."""
-    tree = blobs.select(F.col("leaf").alias("node"), "root", "center", "radius", F.length("reps").alias("weight"))
-    waiting = checkpoint(edges.join(edges.groupBy("parent").agg(F.count("*").alias("children")), "parent"))
-    for _ in range(LEVELS + 2):
-        if not waiting.take(1):
-            break
-        above = waiting.join(tree, "node")
-        dim = F.size(F.first("center"))
-        wide = above.groupBy("parent", "root", "children").agg(F.collect_list(F.struct("center", "radius", "weight")).alias("below"), dim.alias("dim"))  # CHILDREN, or parts of one node
-        wide = wide.where(F.size("below") == F.col("children"))  # its children may end at different depths: a node waits for all of them
-        total = F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"])
-        middle = F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda k: F.aggregate("below", F.lit(0.0), lambda a, x: a + x["weight"] * F.get(x["center"], k)) / F.col("total"))
-        balls = wide.withColumn("total", total).withColumn("center", middle)
-        reach = F.array_max(F.transform("below", lambda x: _gap(x["center"], F.col("center")) + x["radius"]))
-        up = checkpoint(balls.select(F.col("parent").alias("node"), "root", "center", reach.alias("radius"), F.col("total").alias("weight")))
-        tree = tree.unionByName(up)
-        waiting = checkpoint(waiting.join(up.select(F.col("node").alias("parent")), "parent", "left_anti"))
+            gap = _gaps(x, np.array(centers["center"].to_pylist(), dtype=np.float64))
+            which = gap.argmin(axis=1)
+            every = np.arange(len(x))
+            return pa.table(
+                {
+                    "pid": some["pid"],
+                    "n": some["n"],
+                    "vec": some["vec"],
+                    "node": pa.array(np.array(centers["node"].to_pylist(), dtype=np.int64)[which]),
+                    "apart": pa.array(np.array(centers["apart"].to_pylist(), dtype=np.float64)[which]),
+                    "gap": pa.array(gap[every, which]),
+                }
+            )
+
+        dealt = large.groupBy("node", "part").cogroup(held.groupBy("parent", "part")).applyInArrow(assign, "pid bigint, n bigint, vec binary, node bigint, apart double, gap double")
+        dealt = scratch.write(dealt)
+        radius = dealt.groupBy("node").agg((F.max("gap") + SLACK).alias("radius"))
+        balls.append(picked.select("parent", "node", "center").join(radius, "node").select("parent", "node", "center", "radius"))
+        node = dealt.select("pid", "n", "vec", "node", "apart")
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    # what can't be split any more is cut into parts, each a child of it with its ball
+    sizes = scratch.write(every.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF))
+    part = F.xxhash64("node", F.pmod(F.xxhash64("pid"), F.ceil(2 * F.col("size") / LEAF)))
+    leaves = scratch.write(every.join(sizes, "node", "left").select("pid", "n", "vec", "node", F.when(F.col("size").isNull(), F.col("node")).otherwise(part).alias("leaf")))
+    if not balls:
+        tree = node.sparkSession.createDataFrame([], "parent bigint, node bigint, center array<double>, radius double")
     else:
-        raise RuntimeError("nodes of the cover tree are left without a ball")
-    return checkpoint(tree.select("node", "root", F.struct("center", "radius").alias("ball")))
+        tree = balls[0]
+        for more in balls[1:]:
+            tree = tree.unionByName(more)
+    tree = scratch.write(tree)
+    cut = leaves.where("leaf != node").select(F.col("node").alias("parent"), F.col("leaf").alias("node")).distinct()
+    whole = F.array(F.lit(0.0)), F.lit(2.0)  # of a root that is cut itself: no center, and all are near
+    cut = cut.join(tree.select(F.col("node").alias("parent"), "center", "radius"), "parent", "left").select("parent", "node", F.coalesce("center", whole[0]).alias("center"), F.coalesce("radius", whole[1]).alias("radius"))
+    return leaves.select("pid", "n", "vec", "leaf"), scratch.write(tree.unionByName(cut))
 
 
 def _child(parent: int, k: int) -> int:
@@ -222,97 +238,117 @@ def _child(parent: int, k: int) -> int:
     return int(x.view(np.int64)[0])
 
 
+def _near_leaves(leaves: DataFrame, tree: DataFrame, roots: DataFrame, t: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of leaves, a <= b, whose balls leave room for a link; every leaf with itself."""
+    inner = tree.select(F.col("parent").alias("node"), F.lit(True).alias("more")).distinct()
+    # a step down: from a node to its children, from a leaf to itself
+    down = tree.join(inner, "node", "left").withColumn("more", F.coalesce("more", F.lit(False)))
+    still = down.where("not more").select(F.col("node").alias("parent"), "node", "center", "radius", "more")
+    top = roots.join(inner.select("node"), "node", "left_anti").select(F.col("node").alias("parent"), "node", F.array(F.lit(0.0)).alias("center"), F.lit(2.0).alias("radius"), F.lit(False).alias("more"))
+    down = scratch.write(down.select("parent", "node", "center", "radius", "more").unionByName(still).unionByName(top))
+    side = lambda s: down.select(F.col("parent").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "center", "radius", "more")])
+    # the centers' distance; a root that is a leaf has no center, and meets itself only
+    gap = F.sqrt(F.aggregate(F.zip_with("a_center", "b_center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+    near = (F.size("a_center") < 2) | (gap <= F.col("a_radius") + F.col("b_radius") + t)
+    pairs = roots.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for _ in range(LEVELS + 2):
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(((F.col("a") != F.col("b")) | (F.col("a_node") <= F.col("b_node"))) & near)
+        pairs = scratch.write(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), (F.col("a_more") | F.col("b_more")).alias("more")))
+        if pairs.where("more").isEmpty():
+            break
+    else:
+        raise RuntimeError("the cover tree is deeper than its levels")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors of one label (not null) and one length link if their cosine in double precision
     is at least ``cosine``.  Vectors that are null, empty or zero, or hold null or non-finite
     components, link with nothing: n_links 0, component themselves.  n_links counts other
-    rows; repeated rows count as rows of their own.  An empty table gives an empty table.
+    rows; repeated rows count as rows of their own, and so do different vectors of one
+    vec_id.  An empty table gives an empty table; other columns don't matter.
     """
-    floats = dict(vectors.dtypes)[embedding] == "array<float>"
-    kind = "<f4" if floats else "<f8"
+    kind = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
+    scratch = Scratch(vectors.sparkSession, "vectors")
 
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
         out = []
-        for x in column.to_pylist():
-            v = None if not x or None in x else np.array(x, dtype=kind)
-            out.append(v.tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)
+        at, ends = column.offsets.to_numpy(), column.is_valid().to_pylist()
+        every = column.values.to_numpy(zero_copy_only=False).astype(kind)  # null components: not a number
+        for a, b, there in zip(at[:-1], at[1:], ends):
+            v = every[a:b]
+            out.append(v.tobytes() if there and b > a and np.isfinite(v).all() and v.any() else None)
         return pa.array(out, pa.binary())
 
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), packed(F.col(embedding)).alias("vec"))
-    rows = checkpoint(rows.withColumn("vec", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("vec"))))
-    points = checkpoint(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-
-    leaves, edges = _grow(points, kind)
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        x = _unit(_matrix(table["vec"].to_pylist(), kind))
-        center = x.mean(axis=0)
-        return pa.table(
-            {
-                "leaf": table["leaf"][:1],
-                "root": table["root"][:1],
-                "reps": pa.array([np.array(table["rep"], dtype="<i8").tobytes()], pa.binary()),
-                "ns": pa.array([np.array(table["n"], dtype="<i8").tobytes()], pa.binary()),
-                "vecs": pa.array([b"".join(table["vec"].to_pylist())], pa.binary()),
-                "center": pa.array([center.tolist()], pa.list_(pa.float64())),
-                "radius": pa.array([float(_apart(x, center).max())]),
-            }
-        )
-
-    blobs = checkpoint(leaves.groupBy("leaf").applyInArrow(pack, "leaf bigint, root bigint, reps binary, ns binary, vecs binary, center array<double>, radius double"))
-
-    tree = _balls(blobs, edges)
-    inner = edges.select(F.col("parent").alias("node")).distinct()
-    info = tree.select("node", "ball")
-    lower = edges.select("parent", "node").unionByName(tree.join(inner, "node", "left_anti").select(F.col("node").alias("parent"), "node"))
-    lower = checkpoint(lower.join(info, "node"))
-    t = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
-    pairs = blobs.select(F.col("root").alias("a"), F.col("root").alias("b")).distinct()
-    for _ in range(LEVELS + 2):
-        left = lower.select(F.col("parent").alias("a"), F.col("node").alias("a2"), F.col("ball").alias("p"))
-        right = lower.select(F.col("parent").alias("b"), F.col("node").alias("b2"), F.col("ball").alias("q"))
-        deeper = pairs.join(left, "a").join(right, "b")
-        near = _gap(F.col("p.center"), F.col("q.center")) <= F.col("p.radius") + F.col("q.radius") + t
-        deeper = checkpoint(deeper.where(((F.col("a") != F.col("b")) | (F.col("a2") <= F.col("b2"))) & near).select(F.col("a2").alias("a"), F.col("b2").alias("b")))
-        if not deeper.join(inner, deeper.a == inner.node, "left_semi").take(1) and not deeper.join(inner, deeper.b == inner.node, "left_semi").take(1):
-            pairs = deeper
-            break
-        pairs = deeper
-    held = lambda s: blobs.select(F.col("leaf").alias(s), F.col("reps").alias(f"reps_{s}"), F.col("ns").alias(f"ns_{s}"), F.col("vecs").alias(f"vecs_{s}"))
+    rows = rows.withColumn("vec", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("vec")))
+    rows = scratch.write(rows.select("vec_id", "vec", F.xxhash64("label", F.length("vec")).alias("root"), F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")).alias("pid")))
+    points = scratch.write(rows.where("vec is not null").groupBy("pid", "root", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+
+    leaves, tree = _grow(points, kind, scratch)
+    t = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+    pairs = _near_leaves(leaves, tree, points.select(F.col("root").alias("node")).distinct(), t, scratch)
+
+    # vectors of leaf b visit leaf a if a's ball, with t around it, reaches them
+    partners = pairs.where("a != b").join(tree.select(F.col("node").alias("a"), "center", "radius"), "a")
+    counts = scratch.write(partners.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")))
+    calls = partners.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("b", "part", "a", "center", "radius")
+    hosts = leaves.join(counts.withColumnRenamed("b", "leaf"), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+    def visit(some: pa.Table, calls: pa.Table) -> pa.Table:
+        x = _unit(_matrix(some["vec"].to_pylist(), kind)) if some.num_rows else np.zeros((0, 1))
+        to, who = [], []
+        for a, center, radius in zip(*(calls[c].to_pylist() for c in ("a", "center", "radius"))):
+            c = np.array(center)
+            near = np.flatnonzero(_gaps(x, c) <= radius + t) if len(c) == x.shape[1] else np.arange(len(x))
+            to.append(np.full(len(near), a, dtype=np.int64))
+            who.append(near)
+        at = pa.array(np.concatenate(who)) if who else pa.array([], pa.int64())
+        return pa.table({"leaf": pa.array(np.concatenate(to) if to else [], pa.int64()), **{c: some[c].take(at) for c in ("pid", "n", "vec")}})
+
+    visits = scratch.write(hosts.select("leaf", "part", "pid", "n", "vec").groupBy("leaf", "part").cogroup(calls.groupBy("b", "part")).applyInArrow(visit, "leaf bigint, pid bigint, n bigint, vec binary"))
+    crowds = scratch.write(visits.groupBy("leaf").agg(F.ceil(F.count("*") / VISITORS).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    at_home = leaves.join(crowds, "leaf", "left").select("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(True).alias("own"), "pid", "n", "vec")
+    guests = visits.join(crowds, "leaf").select("leaf", F.pmod(F.xxhash64("pid"), F.col("parts")).alias("part"), F.lit(False).alias("own"), "pid", "n", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()[0]
-        reps, ns, raw, trees = {}, {}, {}, {}
-        for s in "ab":
-            reps[s], ns[s] = np.frombuffer(r[f"reps_{s}"], dtype="<i8"), np.frombuffer(r[f"ns_{s}"], dtype="<i8")
-            raw[s] = np.frombuffer(r[f"vecs_{s}"], dtype=kind).astype(np.float64).reshape(len(reps[s]), -1)
-        same = r["a"] == r["b"]
-        trees["a"] = CoverTree(_unit(raw["a"]), t / 4)
-        trees["b"] = trees["a"] if same else CoverTree(_unit(raw["b"]), t / 4)
-        x, y = tree_links(trees["a"], trees["b"], raw["a"], raw["b"], cosine, same)
-        every, back = np.unique(np.concatenate([reps["a"][x], reps["b"][y]]), return_inverse=True)
-        i, j = back[: len(x)], back[len(x) :]
-        links = np.bincount(i, ns["b"][y], minlength=len(every)) + np.bincount(j, ns["a"][x], minlength=len(every))
-        joined = every[local_components(len(every), i, j)]
-        return pa.table({"rep": pa.array(every, pa.int64()), "links": pa.array(links.astype(np.int64)), "low": pa.array(joined, pa.int64())})
-
-    found = pairs.join(held("a"), "a").join(held("b"), "b").groupBy("a", "b").applyInArrow(compare, "rep bigint, links bigint, low bigint")
-    found = checkpoint(found)
-    groups = connected_components(found, "rep", "low")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = points.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    facts = facts.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("vec is not null").join(facts, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+        table = table.sort_by([("own", "descending"), ("pid", "ascending")])
+        pid, n = (np.array(table[c].to_pylist(), dtype=np.int64) for c in ("pid", "n"))
+        raw = _matrix(table["vec"].to_pylist(), kind)
+        x = _unit(raw)
+        mine = int(sum(table["own"].to_pylist()))
+        home = CoverTree(x[:mine], t / 4)
+        links, i, j = np.zeros(len(pid), dtype=np.int64), [], []
+        for begin in [0] * (table["part"][0].as_py() == 0) + list(range(mine, len(pid), LEAF)):
+            end = min(begin + LEAF, len(pid)) if begin else mine
+            other = CoverTree(x[begin:end], t / 4) if begin else home
+            u, v = tree_links(home, other, raw[:mine], raw[begin:end], cosine, not begin)
+            v = v + begin
+            np.add.at(links, u, n[v])
+            np.add.at(links, v, n[u])
+            i.append(u)
+            j.append(v)
+        if not i:
+            i = j = [np.zeros(0, dtype=np.int64)]
+        low = local_components(len(pid), np.concatenate(i), np.concatenate(j))
+        met = np.flatnonzero(links)
+        return pa.table({"pid": pa.array(pid[met]), "links": pa.array(links[met]), "low": pa.array(pid[low[met]])})
+
+    found = scratch.write(at_home.unionByName(guests).groupBy("leaf", "part").applyInArrow(compare, "pid bigint, links bigint, low bigint"))
+    groups = connected_components(found, "pid", "low")
+    links = found.groupBy("pid").agg(F.sum("links").alias("links"))
+    facts = points.select("pid", "rep", "n").join(links, "pid", "left").join(groups.select(F.col("node").alias("pid"), "component"), "pid", "left")
+    facts = scratch.write(facts.select("pid", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "pid").alias("grp")))
+    least = scratch.write(facts.groupBy("grp").agg(F.min("rep").alias("component_id")))
+    facts = scratch.write(facts.join(least, "grp").select("pid", "n_links", "component_id"))
+    linked = rows.join(facts, "pid").select("vec_id", "n_links", "component_id")
+    alone = rows.where("pid is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _gap(x, y):
-    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
-
-
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

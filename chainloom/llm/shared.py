@@ -7,6 +7,7 @@ byte alike, so UTF-8 bytes can be classified without decoding.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,18 @@ _WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary folder only where unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where it is unset a local master gets a temporary folder, as in tests; a cluster gets a ValueError,
+    since its executors don't share such folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="llm-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"
@@ -48,6 +55,30 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/llm-{what}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage of iterative work.
+
+    Unlike checkpoints they tell Spark their true sizes, so rounds of joins don't multiply
+    estimates and small tables are broadcast; and they are removed once superseded.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.home, self.paths = spark, shared_path(spark, what), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.home}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = (path, made)  # the frame is kept, so its id stays its own
+        return made
+
+    def remove(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing lazy reads any more."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # --------------------------------------------------------------------- blocks
 
 
@@ -218,6 +249,11 @@ def as_binary(text: str):
     return F.col(text).cast("string").cast("binary")
 
 
+def word_count(text: str):
+    """Number of [^\\x20\\x09-\\x0D]+ in a text; null: 0."""
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 # ----------------------------------------------------------------- union-find
 
 

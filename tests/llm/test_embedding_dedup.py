@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from chainloom.llm import embedding_dedup as e
+from chainloom.llm.shared import Scratch
 from tests.llm import brute
 
 
@@ -66,14 +67,36 @@ def test_empty_and_unsplittable(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got.collect()} == {(29, 0)}
 
 
-def test_balls_cover_leaves_of_unequal_depth(spark):
-    leaves = {3: [0.0, 1.0], 4: [1.0, 0.0], 6: [0.6, 0.8], 7: [0.8, 0.6]}
-    below = {1: [2, 3], 2: [4, 5], 5: [6, 7]}
-    blobs = spark.createDataFrame([(k, 1, bytes(8), c, 0.01) for k, c in leaves.items()], "leaf bigint, root bigint, reps binary, center array<double>, radius double")
-    edges = spark.createDataFrame([(p, k) for p, kids in below.items() for k in kids], "parent bigint, node bigint")
-    got = {r.node: r.ball for r in e._balls(blobs, edges).collect()}
-    under = lambda k: [x for kid in below[k] for x in under(kid)] if k in below else [k]
-    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
-    for k, ball in got.items():
-        for leaf in under(k):
-            assert np.linalg.norm(np.subtract(ball.center, leaves[leaf])) + 0.01 <= ball.radius + 1e-12
+def test_balls_cover_what_is_below(spark, monkeypatch):
+    monkeypatch.setattr(e, "LEAF", 8)
+    monkeypatch.setattr(e, "CHILDREN", 3)
+    rng = np.random.default_rng(9)
+    x = e._unit(np.concatenate([rng.normal(size=(40, 6)), rng.normal(size=6) + 0.05 * rng.normal(size=(80, 6))]))
+    points = spark.createDataFrame([(i, 1, bytearray(v.astype("<f8").tobytes()), 7) for i, v in enumerate(x)], "pid bigint, n bigint, vec binary, root bigint")
+    leaves, tree = e._grow(points, "<f8", Scratch(spark, "test"))
+    leaf, up, ball = {r.pid: r.leaf for r in leaves.collect()}, {}, {}
+    for r in tree.collect():
+        up[r.node], ball[r.node] = r.parent, (np.array(r.center), r.radius)
+    assert sorted(leaf) == list(range(120)) and len({len(list(path(up, k))) for k in leaf.values()}) > 1  # leaves of several depths
+    for i, k in leaf.items():
+        for node in path(up, k):
+            assert np.linalg.norm(x[i] - ball[node][0]) <= ball[node][1]
+
+
+def path(up, node):
+    while node in up:
+        yield node
+        node = up[node]
+
+
+def test_repeated_ids_and_planted_pairs_across_leaves(spark, monkeypatch):
+    monkeypatch.setattr(e, "LEAF", 8)
+    monkeypatch.setattr(e, "VISITORS", 5)
+    monkeypatch.setattr(e, "PARTNERS", 2)
+    got = e.near_duplicates(spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.001], 1), (9, [0.001, 1.0], 1)], "vec_id bigint, embedding array<float>, label int"))
+    assert sorted(map(tuple, got.collect())) == [(7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(150, 5))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, a + 0.08 * rng.normal(size=a.shape)]))]
+    got = e.near_duplicates(spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id bigint, embedding array<double>, label int, pid int, n int"))
+    assert sorted(map(tuple, got.collect())) == expected(rows)
