@@ -22,26 +22,29 @@ def has_0x(s) -> Column:
     return _col(s).rlike("^0[xX]")
 
 
+def _digits(s) -> Column:
+    """What stands after 0x."""
+    return F.substr(_col(s), F.lit(3))
+
+
 def clean_hex(s) -> Column:
     """Hex digits without 0x and leading zeros; empty: 0."""
-    digits = F.regexp_replace(F.lower(_col(s)), "^(0x)?0*", "")
-    return F.when(digits == "", F.lit("0")).otherwise(digits)
+    digits = F.ltrim(F.regexp_replace(F.lower(_col(s)), "^0x", ""), F.lit("0"))
+    return F.coalesce(F.nullif(digits, F.lit("")), F.when(_col(s).isNotNull(), F.lit("0")))
 
 
 def hex_to_long(s) -> Column:
     """A 0x quantity of up to 63 bits; null if it isn't one."""
-    c, digits = _col(s), clean_hex(s)
-    return F.when(c.rlike("^0[xX][0-9a-fA-F]+$") & ((F.length(digits) < 16) | ((F.length(digits) == 16) & (F.substring(digits, 1, 1) < "8"))), F.conv(digits, 16, 10).cast("bigint"))
+    return F.when(_col(s).rlike("^0[xX]0*(?:[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15})$"), F.conv(F.right(_digits(s), F.lit(16)), 16, 10).cast("bigint"))
 
 
 def hex_to_decimal(s) -> Column:
     """A 0x quantity as DECIMAL(38,0); null above 120 bits (use the uint256 function then) or if it isn't one."""
-    c, digits = _col(s), clean_hex(s)
-    return F.when(c.rlike("^0[xX][0-9a-fA-F]+$") & (F.length(digits) <= 30), _wide(digits))
+    return F.when(_col(s).rlike("^0[xX]0*[0-9a-fA-F]{1,30}$"), _wide(_digits(s)))
 
 
 def _wide(digits: Column) -> Column:
-    padded = F.lpad(digits, 30, "0")
+    padded = F.lpad(F.right(digits, F.lit(30)), 30, "0")
     part = lambda start: F.conv(F.substr(padded, F.lit(start), F.lit(10)), 16, 10).cast("decimal(13,0)")
     scale = 1 << 40
     return (part(1) * F.lit(str(scale * scale)).cast("decimal(25,0)")).cast("decimal(38,0)") + (part(11) * F.lit(scale).cast("decimal(13,0)")).cast("decimal(38,0)") + part(21).cast("decimal(38,0)")

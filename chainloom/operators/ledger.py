@@ -31,16 +31,17 @@ def token_deltas(pre: DataFrame, post: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fee_ops(tx: DataFrame) -> DataFrame:
-    """Fee operations of EVM transactions: the sender pays, the miner earns the tip, the base fee burns.
+    """Fee operations of EVM transactions: the sender pays the miner what doesn't burn, and loses what does.
 
     ``tx``: tx_hash, sender, miner, gas_used, effective_gas_price, base_fee (null before
-    fees burned).
+    fees burned: no third operation).
     """
-    paid = F.col("gas_used") * F.col("effective_gas_price")
-    burnt = F.col("gas_used") * F.coalesce("base_fee", F.lit(0))
-    op = lambda i, kind, account, amount: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("type"), account.alias("account"), amount.alias("amount"))
-    ops = F.array(op(0, "FEE", F.col("sender"), -paid), op(1, "FEE", F.col("miner"), paid - burnt), op(2, "FEE", F.lit("burn"), burnt))
-    return tx.select("tx_hash", F.explode(F.filter(ops, lambda o: (o["i"] < 2) | (o["amount"] != 0))).alias("op")).select("tx_hash", F.col("op.i").alias("op_index"), "op.type", "op.account", "op.amount")
+    burnt = F.col("gas_used") * F.col("base_fee")
+    earned = F.col("gas_used") * F.col("effective_gas_price") - F.coalesce(burnt, F.lit(0))
+    op = lambda i, account, amount: F.struct(F.lit(i).alias("i"), F.lit("FEE").alias("type"), account.alias("account"), amount.alias("amount"))
+    pair = F.array(op(0, F.col("sender"), -earned), op(1, F.col("miner"), earned))
+    ops = F.when(burnt.isNull(), pair).otherwise(F.concat(pair, F.array(op(2, F.col("sender"), -burnt))))
+    return tx.select("tx_hash", F.explode(ops).alias("op")).select("tx_hash", F.col("op.i").alias("op_index"), "op.type", "op.account", "op.amount")
 
 
 def block_reward(height: Column, forks: tuple[int, int, int] = (4_370_000, 7_280_000, 15_537_394)) -> Column:

@@ -8,8 +8,10 @@ reads only what it needs.  What doesn't parse, or lacks a required field, gets a
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,14 @@ def _missing(struct: str, fields: list[str]) -> Column:
     return F.array_join(F.array_compact(F.array(*gone)), ",")
 
 
+def _once(raw: DataFrame, payload: str, schema: str, name: str) -> DataFrame:
+    """``raw`` with the parsed payload as a struct; behind a generator, so that no later projection parses it again."""
+    return raw.select("*", F.explode(F.array(F.from_json(payload, schema))).alias(name))
+
+
 def parse_headers(raw: DataFrame, payload: str = "header") -> DataFrame:
     """Headers and their transactions: ``h`` (as sent) and typed columns; ``parse_error`` null where all is well."""
-    parsed = raw.withColumn("h", F.from_json(payload, HEADER))
+    parsed = _once(raw, payload, HEADER, "h")
     gone = _missing("h", ["number", "hash", "timestamp"])
     return parsed.select(
         "*",
@@ -93,7 +100,7 @@ def withdrawals(headers: DataFrame) -> DataFrame:
 
 def receipts(raw: DataFrame, payload: str = "receipt") -> DataFrame:
     """Typed receipts: the effective price falls back to the transaction's, old ones have a root for a status."""
-    r = raw.withColumn("r", F.from_json(payload, RECEIPT))
+    r = _once(raw, payload, RECEIPT, "r")
     status = hex_to_long("r.status")
     return r.select(
         *[c for c in raw.columns if c != payload],
@@ -115,24 +122,34 @@ def match_receipts(txs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("effective_gas_price", F.coalesce("_price", "gas_price")).withColumn("mismatch", F.col("_hash").isNull() | (F.col("receipt_gas_used") > F.col("gas"))).drop("_hash", "_price")
 
 
+#: What token transfers need of a receipt.
+LOGS = "struct<transactionHash string, logs array<struct<address string, data string, logIndex string, topics array<string>>>>"
+
+
+def receipt_logs(raw: DataFrame, payload: str = "receipt") -> DataFrame:
+    """(tx_hash, logs) of receipts, with nothing else of them parsed."""
+    r = _once(raw, payload, LOGS, "r")
+    return r.select(*[c for c in raw.columns if c != payload], F.lower("r.transactionHash").alias("tx_hash"), F.col("r.logs").alias("logs"))
+
+
 def token_transfers(found: DataFrame) -> DataFrame:
     """ERC-20 (three topics, the value in the data) and ERC-721 (four topics) transfers of receipts' logs.
 
     Values above 256 bits and broken ids drop out.
     """
-    logs = found.select("tx_hash", F.explode("logs").alias("l")).where((F.lower(F.col("l.topics")[0]) == TRANSFER) & F.size("l.topics").isin(3, 4))
+    moves = F.filter("logs", lambda x: F.size(x["topics"]).isin(3, 4) & (F.lower(F.get(x["topics"], F.lit(0))) == TRANSFER))
+    logs = found.select("tx_hash", F.explode(moves).alias("l"))
     erc20 = F.size("l.topics") == 3
-    word = F.when(erc20, F.col("l.data")).otherwise(F.col("l.topics")[3])
-    digits = clean_hex(word)
-    good = word.rlike("^0x[0-9a-fA-F]*$") & (F.length(digits) <= 64) & (erc20 | word.rlike("^0x[0-9a-fA-F]{64}$"))
+    logs = logs.select("tx_hash", "l", erc20.alias("erc20"), F.when(erc20, F.col("l.data")).otherwise(F.get("l.topics", F.lit(3))).alias("word"))
+    good = F.col("word").rlike("^0x0*[0-9a-fA-F]{0,64}$") & (F.col("erc20") | (F.length("word") == 66))
     return logs.where(good).select(
         "tx_hash",
         hex_to_long("l.logIndex").alias("log_index"),
         F.lower("l.address").alias("token"),
         clean_address(F.col("l.topics")[1]).alias("from_address"),
         clean_address(F.col("l.topics")[2]).alias("to_address"),
-        F.when(erc20, "ERC20").otherwise("ERC721").alias("standard"),
-        F.lpad(digits, 64, "0").alias("value_hex"),
+        F.when(F.col("erc20"), "ERC20").otherwise("ERC721").alias("standard"),
+        F.lower(F.lpad(F.right(F.substr("word", F.lit(3)), F.lit(64)), 64, "0")).alias("value_hex"),
     )
 
 
@@ -157,42 +174,62 @@ FLAT = T.ArrayType(
 )
 
 
-def _walk(call: dict) -> list[dict]:
-    """Calls of a tree, parents first; an error is inherited by what has none."""
-    out, stack = [], [(call, [], None)]
+_ARROW = [("trace_address", pa.list_(pa.int32())), *[(k, pa.string()) for k in ("type", "trace_type", "call_type", "from_address", "to_address", "value")], ("subtraces", pa.int32()), ("error", pa.string()), ("status", pa.int32())]
+
+
+def _walk(call: dict, out: list[list]) -> None:
+    """Append the calls of a tree to columns, parents first; an error is inherited by what has none."""
+    address, types, traces, calls, senders, receivers, values, subtraces, errors, status = out
+    stack = [(call, [], None)]
     while stack:
-        c, address, error = stack.pop()
+        c, at, error = stack.pop()
         error = c.get("error") or error
         kind = c.get("type", "")
-        below = c.get("calls") or []
-        out.append(
-            {
-                "trace_address": address,
-                "type": kind,
-                "trace_type": "CALL" if kind in _CALLS else kind,
-                "call_type": kind if kind in _CALLS else None,
-                "from_address": (c.get("from") or "").lower() or None,
-                "to_address": (c.get("to") or "").lower() or None,
-                "value": str(int(c.get("value") or "0x0", 16)),
-                "subtraces": len(below),
-                "error": error,
-                "status": 0 if error else 1,
-            }
-        )
-        stack += [(x, [*address, i], error) for i, x in reversed(list(enumerate(below)))]
-    return out
+        below = c.get("calls") or ()
+        is_call = kind in _CALLS
+        address.append(at)
+        types.append(kind)
+        traces.append("CALL" if is_call else kind)
+        calls.append(kind if is_call else None)
+        senders.append((c.get("from") or "").lower() or None)
+        receivers.append((c.get("to") or "").lower() or None)
+        values.append(str(int(c.get("value") or "0x0", 16)))
+        subtraces.append(len(below))
+        errors.append(error)
+        status.append(0 if error else 1)
+        for i in range(len(below) - 1, -1, -1):
+            stack.append((below[i], [*at, i], error))
 
 
 @F.arrow_udf(returnType=FLAT)
 def flatten_call(column: pa.Array) -> pa.Array:
     """A call tree as a list in depth-first order; no recursion in a schema is needed.  Null where it isn't JSON."""
-    out = []
+    out: list[list] = [[] for _ in _ARROW]
+    ends, bad = [0], []
     for x in column.to_pylist():
+        size = len(out[0])
         try:
-            out.append(None if x is None else _walk(json.loads(x)))
+            if x is not None:
+                _walk(json.loads(x), out)
+            bad.append(x is None)
         except (ValueError, AttributeError, TypeError):
-            out.append(None)
-    return pa.array(out, pa.list_(pa.struct([("trace_address", pa.list_(pa.int32())), *[(k, pa.string()) for k in ("type", "trace_type", "call_type", "from_address", "to_address", "value")], ("subtraces", pa.int32()), ("error", pa.string()), ("status", pa.int32())])))
+            for c in out:
+                del c[size:]
+            bad.append(True)
+        ends.append(len(out[0]))
+    rows = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, _ARROW)], [n for n, _ in _ARROW])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=pa.array(bad))
+
+
+@F.arrow_udf(returnType=T.ArrayType(FLAT))
+def flatten_calls(column: pa.Array) -> pa.Array:
+    """A list of call trees, each as a flat list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    trees = column.flatten()
+    flat = flatten_call.func(trees) if len(trees) else pa.array([], pa.list_(pa.struct(_ARROW)))
+    sizes = [0 if n is None else n for n in pc.list_value_length(column).to_pylist()]
+    ends = pa.array([0, *accumulate(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(ends, flat, mask=column.is_null())
 
 
 def trace_id(kind: Column, tx_hash: Column, address: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.crypto import pubkey_address
+
 # -------------------------------------------------------------------- Bitcoin
 
 BITCOIN = (
     "struct<hash string, height bigint, previousblockhash string, merkleroot string, time bigint, difficulty double, "
-    "tx array<struct<txid string, hash string, vsize bigint, vin array<struct<coinbase string, txid string, vout bigint>>, "
+    "tx array<struct<txid string, hash string, vsize bigint, vin array<struct<txid string, vout bigint>>, "
     "vout array<struct<value decimal(18,8), n bigint, scriptPubKey struct<asm string, type string, address string, addresses array<string>>>>>>>"
 )
 
@@ -22,10 +24,11 @@ def bitcoin_blocks(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def bitcoin_outputs(blocks: DataFrame) -> DataFrame:
-    """Outputs in satoshi; the address is the script's one, or the first of several unless it is multisig; data carriers are OP_RETURN."""
+    """Outputs in satoshi; the address is the script's one, or the first of several unless it is multisig, or that of the key that a pubkey script names; data carriers are OP_RETURN."""
     each = blocks.select("height", F.explode("b.tx").alias("t")).select("height", F.col("t.txid").alias("tx"), F.explode("t.vout").alias("o"))
     script = F.col("o.scriptPubKey")
-    address = F.when(script["type"] == "nulldata", "OP_RETURN").when(script["type"] == "multisig", F.lit(None)).otherwise(F.coalesce(script["address"], F.get(script["addresses"], F.lit(0))))
+    key = F.nullif(F.regexp_extract(script["asm"], "^([0-9a-fA-F]+) OP_CHECKSIG$", 1), F.lit(""))
+    address = F.when(script["type"] == "nulldata", "OP_RETURN").when((script["type"] == "pubkey") & script["address"].isNull(), pubkey_address(key)).when(script["type"] == "multisig", F.lit(None)).otherwise(F.coalesce(script["address"], F.get(script["addresses"], F.lit(0))))
     return each.select("height", "tx", F.col("o.n").alias("n"), F.round(F.col("o.value") * 100_000_000).cast("bigint").alias("value"), address.alias("address"))
 
 
@@ -35,9 +38,10 @@ def bitcoin_inputs(blocks: DataFrame) -> DataFrame:
     return each.where(F.col("v.txid").isNotNull()).select("height", "tx", "i", F.col("v.txid").alias("prev_tx"), F.col("v.vout").alias("prev_n"))
 
 
-def bitcoin_coinbase(blocks: DataFrame) -> DataFrame:
-    """Whether each transaction mints: the first input has a coinbase script."""
-    return blocks.select("height", F.posexplode("b.tx").alias("position", "t")).select("height", F.col("t.txid").alias("tx"), "position", F.get(F.col("t.vin"), F.lit(0))["coinbase"].isNotNull().alias("is_coinbase"))
+def bitcoin_mints(blocks: DataFrame) -> DataFrame:
+    """Whether each transaction mints: its first input spends nothing."""
+    first = F.get(F.col("t.vin"), F.lit(0))
+    return blocks.select("height", F.posexplode("b.tx").alias("position", "t")).select("height", F.col("t.txid").alias("tx"), "position", (first.isNotNull() & first["txid"].isNull()).alias("mints"))
 
 
 # --------------------------------------------------------------------- Solana

@@ -201,10 +201,11 @@ def c9_reorg_distance(spark, d):
     return continuity.reorg_distance(spark.createDataFrame([(x,) for x in (0, 1, 11, 12, 50)], "distance int"), 12)
 
 
-_FORKED = """, held AS (SELECT height, hash, parent_hash, skipped, tag FROM (SELECT * FROM events0 WHERE event_id <= 900 QUALIFY row_number() OVER (PARTITION BY height ORDER BY event_id DESC) = 1) WHERE event_type = 'BLOCK_ADDED'
-), newer AS (SELECT c.height, c.tag, c.parent_hash, c.skipped, CASE WHEN c.height > 820 AND NOT c.skipped THEN md5(c.height || '-new') ELSE c.hash END AS hash FROM canonical c
+_FORKED = """, ends AS (SELECT (SELECT max(event_id) - 60 FROM events0) AS e, (SELECT max(height) - 120 FROM canonical) AS h
+), held AS (SELECT height, hash, parent_hash, skipped, tag FROM (SELECT * FROM events0 WHERE event_id <= (SELECT e FROM ends) QUALIFY row_number() OVER (PARTITION BY height ORDER BY event_id DESC) = 1) WHERE event_type = 'BLOCK_ADDED'
+), newer AS (SELECT c.height, c.tag, c.parent_hash, c.skipped, CASE WHEN c.height > (SELECT h FROM ends) AND NOT c.skipped THEN md5(c.height || '-new') ELSE c.hash END AS hash FROM canonical c
 ), fork AS (SELECT max(h.height) AS f FROM held h JOIN newer n ON h.height = n.height AND h.hash IS NOT DISTINCT FROM n.hash AND h.skipped = n.skipped
-), last AS (SELECT max(event_id) AS m FROM events0 WHERE event_id <= 900)
+), last AS (SELECT max(event_id) AS m FROM events0 WHERE event_id <= (SELECT e FROM ends))
 SELECT event_type, tag, height, hash, parent_hash, skipped, 0 AS event_tag, m + row_number() OVER (ORDER BY k, CASE WHEN k = 0 THEN -height ELSE height END) AS event_id FROM (
   SELECT 0 AS k, 'BLOCK_REMOVED' AS event_type, tag, height, hash, parent_hash, skipped FROM held, fork WHERE height > f
   UNION ALL SELECT 1, 'BLOCK_ADDED', tag, height, hash, parent_hash, skipped FROM newer, fork WHERE height > f AND height <= f + 200), last"""
@@ -213,22 +214,27 @@ SELECT event_type, tag, height, hash, parent_hash, skipped, 0 AS event_tag, m +
 @query(derived.SQL.rstrip() + _FORKED, plain=True)
 def c12_streamer_cycle(spark, d):
     blocks = reads.canonical_blocks(derived.block_writes(spark, d))
-    newer = blocks.withColumn("hash", F.when((F.col("height") > 820) & ~F.col("skipped"), F.md5(F.concat(F.col("height").cast("string"), F.lit("-new")))).otherwise(F.col("hash")))
-    events = derived.chain_events(spark, d).where("event_id <= 900")
+    events = derived.chain_events(spark, d)
+    end, top = events.agg(F.max("event_id")).first()[0] - 60, blocks.agg(F.max("height")).first()[0] - 120
+    newer = blocks.withColumn("hash", F.when((F.col("height") > top) & ~F.col("skipped"), F.md5(F.concat(F.col("height").cast("string"), F.lit("-new")))).otherwise(F.col("hash")))
+    events = events.where(F.col("event_id") <= end)
     return reorg.streamer_changes(events, newer, 0, 200).select("event_type", "tag", "height", "hash", "parent_hash", "skipped", "event_tag", "event_id")
 
 
-@query("SELECT height, hash, skipped FROM canonical WHERE height <= 1382 AND height <= (SELECT max(height) FROM canonical WHERE height <= 1382 AND NOT skipped)")
+@query("SELECT height, hash, skipped OR height > (SELECT max(height) - 9 FROM canonical) AS skipped FROM canonical WHERE height <= (SELECT max(height) FROM canonical WHERE NOT skipped AND height <= (SELECT max(height) - 9 FROM canonical))")
 def c13_trim_trailing_skipped(spark, d):
-    blocks = reads.canonical_blocks(derived.block_writes(spark, d)).where("height <= 1382")
+    blocks = reads.canonical_blocks(derived.block_writes(spark, d))
+    top = blocks.agg(F.max("height")).first()[0]
+    blocks = blocks.withColumn("skipped", F.col("skipped") | (F.col("height") > top - 9))
     return continuity.trim_trailing_skipped(blocks).select("height", "hash", "skipped")
 
 
-@query("SELECT max(height) AS height, max(height) <= 1380 AS agrees FROM canonical WHERE height <= 1400 - 12 + 1 AND NOT skipped")
+@query("SELECT max(height) AS height, max(height) <= max(m) - 20 AS agrees FROM canonical, (SELECT max(height) AS m FROM canonical) WHERE height <= m - 12 + 1 AND NOT skipped")
 def c14_consensus(spark, d):
-    mine = reads.canonical_blocks(derived.block_writes(spark, d)).where("height <= 1400")
-    theirs = mine.withColumn("hash", F.when((F.col("height") > 1380) & ~F.col("skipped"), F.lit("other")).otherwise(F.col("hash")))
-    return reorg.consensus(mine, theirs, 1400, 12)
+    mine = reads.canonical_blocks(derived.block_writes(spark, d))
+    top = mine.agg(F.max("height")).first()[0]
+    theirs = mine.withColumn("hash", F.when((F.col("height") > top - 20) & ~F.col("skipped"), F.lit("other")).otherwise(F.col("hash")))
+    return reorg.consensus(mine, theirs, top, 12)
 
 
 @query("SELECT 2 AS event_tag, event_id, event_type, 3 AS tag, e.height, CASE WHEN e.hash IS NOT DISTINCT FROM c.hash THEN e.hash END AS hash, CASE WHEN e.hash IS NOT DISTINCT FROM c.hash THEN e.parent_hash END AS parent_hash, e.hash IS DISTINCT FROM c.hash OR e.skipped AS skipped FROM events0 e JOIN canonical c ON e.height = c.height")
@@ -269,7 +275,7 @@ def l14_token_deltas(spark, d):
 
 
 @query(
-    "SELECT tx_hash, op_index, 'FEE' AS type, account, amount FROM (SELECT md5(o_orderkey || 'tx') AS tx_hash, unnest([0, 1, 2]) AS op_index, unnest(['c' || o_custkey, 'miner', 'burn']) AS account, unnest([-g * p, g * p - g * f, g * f]) AS amount FROM (SELECT *, 21000 + o_orderkey AS g, 30 + o_custkey % 70 AS p, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 25 END AS f FROM orders)) WHERE op_index < 2 OR amount <> 0",
+    "SELECT tx_hash, op_index, 'FEE' AS type, account, amount FROM (SELECT md5(o_orderkey || 'tx') AS tx_hash, f, unnest([0, 1, 2]) AS op_index, unnest(['c' || o_custkey, 'miner', 'c' || o_custkey]) AS account, unnest([-(g * p - g * coalesce(f, 0)), g * p - g * coalesce(f, 0), -g * f]) AS amount FROM (SELECT *, 21000 + o_orderkey AS g, 30 + o_custkey % 70 AS p, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 25 END AS f FROM orders)) WHERE op_index < 2 OR f IS NOT NULL",
     plain=True,
 )
 def l3_fee_ops(spark, d):
@@ -341,20 +347,20 @@ def l11_utxo_ops(spark, d):
     return ledger.utxo_ops(ledger.utxo_inputs(inputs, outputs).where("found"), outputs)
 
 
-@query("SELECT height, 'hash' AS differences FROM canonical WHERE height % 50 = 7 AND NOT skipped AND height < 900 UNION ALL SELECT height, 'missing' FROM canonical WHERE height >= 900 UNION ALL SELECT height + 10000000, 'unexpected' FROM canonical WHERE height < 3")
+@query("SELECT height, CASE WHEN height % 50 = 7 THEN 'hash' ELSE 'missing' END AS differences FROM canonical WHERE (height % 50 = 7 AND NOT skipped) OR height % 50 = 9 UNION ALL SELECT height + 10000000, 'unexpected' FROM canonical WHERE height < 3")
 def v1_compare_blocks(spark, d):
     blocks = reads.canonical_blocks(derived.block_writes(spark, d))
-    other = blocks.where("height < 900").withColumn("hash", F.when((F.col("height") % 50 == 7) & ~F.col("skipped"), F.lit("x")).otherwise(F.col("hash")))
+    other = blocks.where("height % 50 != 9").withColumn("hash", F.when((F.col("height") % 50 == 7) & ~F.col("skipped"), F.lit("x")).otherwise(F.col("hash")))
     return verify.compare_blocks(blocks, other.unionByName(blocks.where("height < 3").withColumn("height", F.col("height") + 10000000)))
 
 
-@query("SELECT 'hash' AS differences, count(*) AS n FROM canonical WHERE height % 50 = 7 AND NOT skipped AND height BETWEEN 57 AND 1207")
+@query("SELECT 'hash' AS differences, count(*) AS n FROM canonical WHERE height % 50 = 7 AND NOT skipped")
 def v8_monitor(spark, d):
     writes = derived.block_writes(spark, d)
     stored = writes.where("write_seq % 2 = 0").select("height", F.col("hash").alias("stale"))
     blocks = reads.canonical_blocks(writes)
     off = blocks.join(stored, "height", "left").withColumn("hash", F.coalesce("stale", "hash")).drop("stale")
-    return verify.monitor_counts(blocks, off, 57, 1207)
+    return verify.monitor_counts(blocks, off, 0, blocks.agg(F.max("height")).first()[0])
 
 
 @query("SELECT height FROM canonical WHERE FALSE UNION ALL SELECT height FROM (SELECT height, sum(amount) AS r FROM ledger_ops WHERE status = 'SUCCESS' AND account <> 's1' GROUP BY 1) WHERE r <> 0")
@@ -525,7 +531,7 @@ def x4_evm_receipts(spark, d):
     plain=True,
 )
 def x10_token_transfers(spark, d):
-    return parse_evm.token_transfers(parse_evm.receipts(evm_receipts(spark, d)))
+    return parse_evm.token_transfers(parse_evm.receipt_logs(evm_receipts(spark, d)))
 
 
 _TRACE = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS k, l_partkey, l_suppkey, l_linenumber, l_returnflag = 'R' AS bad FROM lineitem"
@@ -565,7 +571,7 @@ def bitcoin_raw(spark, d) -> DataFrame:
     line = table(spark, d, "lineitem")
     script = F.struct(F.when(F.col("l_linenumber") % 5 == 0, "nulldata").when(F.col("l_linenumber") % 5 == 1, "multisig").otherwise("pubkeyhash").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("a"), F.col("l_suppkey").cast("string"))).alias("address"), F.array(F.concat(F.lit("b"), F.col("l_suppkey").cast("string"))).alias("addresses"))
     out = F.struct(F.col("l_extendedprice").alias("value"), F.col("l_linenumber").alias("n"), script.alias("scriptPubKey"))
-    vin = F.struct(F.when(F.col("l_linenumber") == 1, "mint").alias("coinbase"), F.when(F.col("l_linenumber") != 1, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("txid"), F.when(F.col("l_linenumber") != 1, F.col("l_suppkey")).alias("vout"))
+    vin = F.struct(F.when(F.col("l_linenumber") != 1, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("txid"), F.when(F.col("l_linenumber") != 1, F.col("l_suppkey")).alias("vout"))
     tx = F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("txid"), F.array(vin).alias("vin"), F.array(out).alias("vout"))
     txs = line.groupBy("l_orderkey").agg(F.collect_list(tx).alias("tx"))
     block = F.struct(F.md5(F.col("l_orderkey").cast("string")).alias("hash"), F.col("l_orderkey").alias("height"), F.lit(1231006505).alias("time"), F.lit(2.5).alias("difficulty"), "tx")
@@ -715,12 +721,13 @@ def f9_primary_or_secondary(spark, d):
     return reorg.primary_or_secondary(primary, blocks, ["height"])
 
 
-@query("SELECT height, hash FROM canonical WHERE NOT skipped AND height > 300 AND height <= least(1400 - 12, 300 + 500)")
+@query("SELECT height, hash FROM canonical WHERE NOT skipped AND height > 300 AND height <= (SELECT max(height) - 12 FROM canonical)")
 def st7_confirmed_batch(spark, d):
     from chainloom.streaming.events import confirmed
 
     blocks = reads.canonical_blocks(derived.block_writes(spark, d)).where(~F.col("skipped"))
-    return confirmed(blocks, 1400, 12, 300, 500).select("height", "hash")
+    top = reads.canonical_blocks(derived.block_writes(spark, d)).agg(F.max("height")).first()[0]
+    return confirmed(blocks, top, 12, 300, top).select("height", "hash")
 
 
 @query("SELECT event_id, event_type, e.height, parent_height FROM events0 e LEFT JOIN (SELECT height, hash, parent_height FROM canonical WHERE NOT skipped) c ON e.height = c.height AND e.hash = c.hash")
@@ -737,3 +744,6 @@ def w7_messages(spark, d):
     gone = e.where("event_id % 7 = 0").select("event_id", "event_type", F.lit(0).alias("retries"), F.lit(True).alias("deleted"), F.lit(9).alias("write_seq"))
     last = continuity.versions_as_of(states.unionByName(gone), "event_id", "write_seq", 100)
     return last.where(~F.col("deleted")).groupBy(F.col("event_type").alias("topic"), "retries").agg(F.count("*").alias("n"))
+
+
+from chainloom.plans import blocks  # noqa: E402, F401 - registers more queries
