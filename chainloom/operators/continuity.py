@@ -9,19 +9,27 @@ from chainloom.errors import Discontinuous
 from chainloom.operators.ordered import BUCKET, with_previous
 
 
-def validate_chain(blocks: DataFrame, last_block=None, bucket: int = BUCKET) -> DataFrame:
-    """Blocks that don't follow the last block before them that isn't skipped.
+def chain_faults(blocks: DataFrame, last_block=None, bucket: int = BUCKET) -> DataFrame:
+    """Blocks with ``fault``: whether they don't follow the last block before them that isn't skipped, and ``previous``.
 
     A parent hash must be that block's hash, and a parent height other than 0 its height;
     an empty parent hash is not checked.  ``last_block``: (height, hash) before the first.
+    Skipped blocks have no fault.
     """
     before = None if last_block is None else F.struct(F.lit(last_block[0]).cast("bigint").alias("height"), F.lit(last_block[1]).alias("hash"))
     keys = ["tag"] if "tag" in blocks.columns else []
-    real = blocks.where(~F.col("skipped"))
-    seen = with_previous(real, "height", ["height", "hash"], keys, bucket=bucket, before=before)
+    seen = with_previous(blocks.where(~F.col("skipped")), "height", ["height", "hash"], keys, bucket=bucket, before=before)
     hash_off = F.col("parent_hash") != F.col("previous.hash")
     height_off = (F.col("parent_height") != 0) & (F.col("parent_height") != F.col("previous.height"))
-    bad = seen.where(F.col("previous").isNotNull() & (F.col("parent_hash") != "") & (hash_off | height_off))
+    fault = F.col("previous").isNotNull() & (F.col("parent_hash") != "") & (hash_off | height_off)
+    skipped = blocks.where("skipped").withColumn("previous", F.lit(None).cast(seen.schema["previous"].dataType)).withColumn("fault", F.lit(False))
+    return seen.withColumn("fault", F.coalesce(fault, F.lit(False))).unionByName(skipped)
+
+
+def validate_chain(blocks: DataFrame, last_block=None, bucket: int = BUCKET) -> DataFrame:
+    """Blocks that don't follow the last block before them that isn't skipped."""
+    keys = ["tag"] if "tag" in blocks.columns else []
+    bad = chain_faults(blocks.where(~F.col("skipped")), last_block, bucket).where("fault")
     return bad.select(*keys, "height", "hash", "parent_hash", F.col("previous.hash").alias("expected_parent_hash"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chainloom.config import LITERAL_ZERO, Chain
 from chainloom.errors import FailedPrecondition, InvalidArgument, InvalidEventId, NoEventHistory, NotFound, OutOfRange
-from chainloom.operators.continuity import validate_chain
+from chainloom.operators.continuity import chain_faults
 
 BLOCK = ["tag", "height", "hash", "parent_hash", "parent_height", "skipped", "block_ts"]
 
@@ -90,19 +90,19 @@ def checked_range(writes: DataFrame, watermarks: DataFrame, chain: Chain, tag: i
     if end - 1 > tip_height(watermarks, tag):
         raise FailedPrecondition(f"height {end - 1} is beyond the tip")
     found = blocks_by_range(writes, tag, start, end)
-    if missing_heights(found, start, end).take(1):
+    checked = chain_faults(found).agg(F.count("*").alias("n"), F.count_if("fault").alias("faults")).first()  # both checks in one pass
+    if checked["n"] != end - start:
         raise NotFound("some heights have no block")
-    if validate_chain(found).take(1):
+    if checked["faults"]:
         raise FailedPrecondition("the blocks don't follow one another")
     return found
 
 
 def blocks_by_heights(writes: DataFrame, tag: int, heights: list[int]) -> DataFrame:
-    """Blocks in the order asked for, repeats included; a missing height has a null ``skipped``."""
-    spark = writes.sparkSession
-    asked = spark.createDataFrame(list(enumerate(heights)), "pos int, height bigint")
-    found = canonical_blocks(writes.where(F.col("tag") == tag).join(F.broadcast(asked.select("height").distinct()), "height", "left_semi"))
-    return asked.join(found.drop("tag"), "height", "left").select("pos", F.lit(tag).alias("tag"), *BLOCK[1:])
+    """Blocks in the order asked for, repeats included; any missing: error."""
+    asked = writes.sparkSession.createDataFrame(list(enumerate(heights)), "pos int, height bigint")
+    mine = by_keys(writes.where(F.col("tag") == tag), asked.select("height").distinct(), ["height"], complete=True)
+    return asked.join(canonical_blocks(mine).drop("tag"), "height").select("pos", F.lit(tag).alias("tag"), *BLOCK[1:])
 
 
 def files_projection(blocks: DataFrame, chain: Chain) -> DataFrame:
@@ -211,9 +211,20 @@ def blocks_of_transactions(index: DataFrame, writes: DataFrame) -> DataFrame:
     return index.join(blocks, ["tag", "block_number", "block_hash"])
 
 
-def by_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = 100_000, how: str = "left_semi") -> DataFrame:
-    """Rows of a list of keys (or, ``left_anti``, all others), which is broadcast up to ``bound`` keys and shuffled beyond it."""
+def require_some(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise NotFound(what)
+    return df
+
+
+def by_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = 100_000, how: str = "left_semi", complete: bool = False) -> DataFrame:
+    """Rows of a list of keys (or, ``left_anti``, all others), which is broadcast up to ``bound`` keys and shuffled beyond it.
+
+    ``complete``: a key without rows is an error.
+    """
     small = keys.limit(bound + 1).count() <= bound
+    if complete and not keys.join(df.select(*on), on, "left_anti").isEmpty():
+        raise NotFound("some keys have no rows")
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 

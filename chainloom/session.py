@@ -42,18 +42,18 @@ class Session:
         return height
 
     def get_block_metadata(self, height: int, hash_: str = "", tag: int | None = None) -> DataFrame:
-        return reads.block_by_hash(self.store.read("block_meta"), self._tag(tag), height, hash_, self.chain.block_start_height)
+        return reads.block_by_hash(self.store.writes(self._tag(tag)), self._tag(tag), height, hash_, self.chain.block_start_height)
 
     def get_block(self, height: int, hash_: str = "", tag: int | None = None) -> DataFrame:
         return self.store.payloads(self.get_block_metadata(height, hash_, tag))
 
     def get_block_files_by_range(self, start: int, end: int = 0, tag: int | None = None) -> DataFrame:
-        found = reads.checked_range(self.store.read("block_meta"), self.store.read("block_watermark"), self.chain, self._tag(tag), start, end)
+        found = reads.checked_range(self.store.writes(self._tag(tag)), self.store.read("block_watermark"), self.chain, self._tag(tag), start, end)
         return reads.files_projection(found, self.chain)
 
     def get_blocks_by_range(self, start: int, end: int = 0, tag: int | None = None) -> DataFrame:
         reads.check_range(start, end, self.chain.max_blocks)
-        found = reads.checked_range(self.store.read("block_meta"), self.store.read("block_watermark"), self.chain, self._tag(tag), start, end)
+        found = reads.checked_range(self.store.writes(self._tag(tag)), self.store.read("block_watermark"), self.chain, self._tag(tag), start, end)
         return self.store.payloads(found).orderBy("height")
 
     def _parsed(self, blocks: DataFrame, kind: str) -> DataFrame:
@@ -69,13 +69,20 @@ class Session:
         return self._parsed(self.get_blocks_by_range(start, end, tag), "rosetta")
 
     def get_block_by_transaction(self, tx_hash: str, tag: int | None = None) -> DataFrame:
-        """Blocks that hold a transaction now; none is an empty answer."""
+        """Blocks that hold a transaction now: none if all that held it were reorganised away."""
         t = self._tag(tag)
-        index = self.store.read("tx_index").where((F.col("tag") == t) & (F.col("tx_hash") == tx_hash))
+        index = reads.require_some(self.store.transactions(t).where(F.col("tx_hash") == tx_hash), f"no transaction {tx_hash}")
         heights = index.select(F.col("block_number").alias("height")).distinct()
-        writes = reads.by_keys(self.store.read("block_meta").where(F.col("tag") == t), heights, ["height"])
+        writes = reads.by_keys(self.store.writes(t), heights, ["height"])
         return reads.blocks_of_transactions(index, writes)
 
+    def get_native_transaction(self, tx_hash: str, tag: int | None = None) -> DataFrame:
+        """A transaction as the native block that holds it now has it."""
+        blocks = self.store.payloads(self.get_block_by_transaction(tx_hash, tag).select("tag", F.col("block_number").alias("height"), F.col("block_hash").alias("hash")).distinct())
+        found = self._parsed(blocks, "native")
+        key = "tx_hash" if self.chain.family == "evm" else "tx_id"
+        return found.select(F.explode("transactions").alias("t")).select("t.*").where(F.col(key) == tx_hash)
+
     def get_chain_events(self, event_tag: int = 0, sequence: str = "", initial_position: str = "", sequence_num: int = 0, max_events: int = 0) -> DataFrame:
         tag = self._event_tag(event_tag)
         events, most = self.store.events(tag), self.store.max_event_id(tag)
@@ -93,9 +100,33 @@ class Session:
 
 
 def _register_parsers() -> None:
-    from chainloom.operators import parse_evm, parse_other
+    from chainloom.operators import ledger_blocks, native, parse_other
+
+    parts = "struct<header string, receipts array<string>, traces array<string>, uncles array<string>, author string>"
+
+    def evm(df: DataFrame, chain: str = "ethereum") -> DataFrame:
+        p = df.select("payload", F.explode(F.array(F.from_json("payload", parts))).alias("p"))
+        some = lambda c: F.coalesce(f"p.{c}", F.array().cast("array<string>")).alias(c)
+        # a payload without parts is a header by itself
+        return native.evm_blocks(p.select(F.coalesce("p.header", "payload").alias("header"), some("receipts"), some("traces"), some("uncles"), F.col("p.author").alias("author")), chain)
+
+    def solana(df: DataFrame) -> DataFrame:
+        return ledger_blocks.solana_blocks(df.select(F.col("height").alias("slot"), "tag", F.col("payload").isNull().alias("skipped"), "payload"))
+
+    def aptos(df: DataFrame) -> DataFrame:
+        each = df.select(F.explode(F.from_json(F.get_json_object("payload", "$.transactions"), "array<string>")).alias("transaction"))
+        return parse_other.aptos_transactions(each)
+
+    def beacon(df: DataFrame) -> DataFrame:
+        part = lambda c: F.get_json_object("payload", f"$.{c}").alias(c)
+        return parse_other.beacon_blocks(df.select(F.col("height").alias("slot"), F.col("hash").alias("root"), part("header"), part("block")))
 
-    register_parser("evm", "native", lambda df: parse_evm.parse_headers(df.drop("hash", "parent_hash", "block_ts"), "payload"))
+    register_parser("evm", "native", evm)
+    register_parser("evm", "rosetta", lambda df: ledger_blocks.evm_ledger_blocks(evm(df)))
+    register_parser("solana", "native", solana)
+    register_parser("solana", "rosetta", lambda df: ledger_blocks.solana_ledger(solana(df)))
+    register_parser("aptos", "native", aptos)
+    register_parser("beacon", "native", beacon)
     register_parser("bitcoin", "native", lambda df: parse_other.bitcoin_blocks(df.drop("hash", "height", "block_ts")))
     register_parser("rosetta", "native", lambda df: parse_other.rosetta_ops(df))
     register_parser("rosetta", "rosetta", lambda df: parse_other.rosetta_ops(df))

@@ -2,7 +2,9 @@
 
 A writer validates, appends data, and appends the watermark row last; a reader resolves the
 watermark once and ignores rows written after it.  So a job that dies half way leaves rows
-that nobody sees, and its rerun appends them anew under a later ``write_seq``.
+that nobody sees, and its rerun appends them anew under a later ``write_seq``: of rows of
+one key the last written before the pointer counts.  Nothing is ever overwritten; taking
+events back moves the pointer only.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from chainloom.operators.reorg import number_events
 SCHEMAS = {
     "block_meta": "tag int, height bigint, hash string, parent_hash string, parent_height bigint, skipped boolean, block_ts timestamp, object_key string, write_seq bigint",
     "block_watermark": "tag int, height bigint, hash string, write_seq bigint",
-    "raw_blocks": "tag int, height bigint, hash string, codec string, payload binary, md5 string",
-    "chain_events": "event_tag int, event_id bigint, event_type string, tag int, height bigint, hash string, parent_hash string, skipped boolean",
+    "raw_blocks": "tag int, height bigint, hash string, codec string, payload binary, md5 string, write_seq bigint",
+    "chain_events": "event_tag int, event_id bigint, event_type string, tag int, height bigint, hash string, parent_hash string, skipped boolean, write_seq bigint",
     "event_watermark": "event_tag int, max_event_id bigint, write_seq bigint",
     "tx_index": "tag int, tx_hash string, block_number bigint, block_hash string",
     "dlq": "message_id string, topic string, retries int, sent_ts timestamp, data string, deleted boolean, write_seq bigint",
@@ -86,6 +88,11 @@ class Store:
         top = self.read("block_watermark").where(F.col("tag") == tag).agg(F.max_by(F.struct("height", "write_seq"), "write_seq").alias("top")).first()["top"]
         return (-1, 0) if top is None else (top["height"], top["write_seq"])
 
+    def writes(self, tag: int) -> DataFrame:
+        """Block metadata written before the pointer: what readers may see, canonical or not."""
+        _, seq = self.snapshot(tag)
+        return self.read("block_meta").where((F.col("tag") == tag) & (F.col("write_seq") <= seq))
+
     def canonical(self, tag: int) -> DataFrame:
         """Canonical blocks up to the pointer, as of its writing."""
         height, seq = self.snapshot(tag)
@@ -100,23 +107,31 @@ class Store:
         real = blocks.where(~F.col("skipped"))
         data = gzip_bytes("payload") if codec == "GZIP" else F.col("payload")
         stored = real.select("tag", "height", "hash", F.lit(codec).alias("codec"), data.alias("payload"))
-        self.append("raw_blocks", stored.withColumn("md5", F.base64(F.unhex(F.md5("payload")))))
+        self.append("raw_blocks", stored.withColumn("md5", F.base64(F.unhex(F.md5("payload")))).withColumn("write_seq", F.lit(self.next_seq("raw_blocks"))))
 
     def payloads(self, blocks: DataFrame) -> DataFrame:
-        """Blocks with their payload, unpacked; what the metadata says goes before what the payload says.  Skipped blocks have null."""
-        raw = self.read("raw_blocks").groupBy("tag", "height", "hash").agg(F.max(F.struct("codec", "payload")).alias("p"))
+        """Blocks with the payload written last, unpacked; what the metadata says goes before what the payload says.  Skipped blocks have null."""
+        raw = self.read("raw_blocks").groupBy("tag", "height", "hash").agg(F.max_by(F.struct("codec", "payload"), "write_seq").alias("p"))
         joined = blocks.join(raw, ["tag", "height", "hash"], "left")
         return joined.withColumn("payload", F.when(F.col("p.codec") == "GZIP", gunzip("p.payload")).otherwise(F.col("p.payload"))).drop("p")
 
     # -------------------------------------------------------------- events
 
+    def _events_seen(self, event_tag: int) -> tuple[int, int]:
+        """(last event id, write_seq) of a stream's pointer."""
+        top = self.read("event_watermark").where(F.col("event_tag") == event_tag).agg(F.max_by(F.struct("max_event_id", "write_seq"), "write_seq").alias("top")).first()["top"]
+        return (0, 0) if top is None else (top["max_event_id"], top["write_seq"])
+
     def max_event_id(self, event_tag: int) -> int:
-        top = self.read("event_watermark").where(F.col("event_tag") == event_tag).agg(F.max_by("max_event_id", "write_seq")).first()[0]
-        return top or 0
+        return self._events_seen(event_tag)[0]
 
     def events(self, event_tag: int) -> DataFrame:
-        """Events up to the stream's pointer; of an id written again after a rewind the last is meant, so rewound ids are replaced at append."""
-        return self.read("chain_events").where((F.col("event_tag") == event_tag) & (F.col("event_id") <= self.max_event_id(event_tag)))
+        """Events up to the stream's pointer; of an id that was written again, after a rewind or a lost job, the last before the pointer."""
+        last, seq = self._events_seen(event_tag)
+        seen = self.read("chain_events").where((F.col("event_tag") == event_tag) & (F.col("event_id") <= last) & (F.col("write_seq") <= seq))
+        columns = [c for c in seen.columns if c not in ("event_tag", "event_id", "write_seq")]
+        top = seen.groupBy("event_tag", "event_id").agg(F.max_by(F.struct(*columns), "write_seq").alias("e"))
+        return top.select("event_tag", "event_id", "e.*")
 
     def add_events(self, event_tag: int, events: DataFrame, order: str) -> int:
         """Append events, numbered from the last id + 1 in ``order``; returns the last id."""
@@ -135,26 +150,23 @@ class Store:
         both = near.unionByName(entries.select(*near.columns))
         if validate_event_ids(both).take(1) or validate_event_pairs(both).take(1):
             raise InvalidArgument("events don't follow one another")
-        self.append("chain_events", entries)
-        self._point(event_tag, span["b"])
+        seq = max(self.next_seq("chain_events"), self.next_seq("event_watermark"))
+        self.append("chain_events", entries.withColumn("write_seq", F.lit(seq)))
+        self._point(event_tag, span["b"], seq)
         return span["b"]
 
     def set_max_event_id(self, event_tag: int, event_id: int) -> None:
-        """Rewind a stream; 0 empties it."""
+        """Rewind a stream, by its pointer alone; 0 empties it."""
         top = self.max_event_id(event_tag)
         if not top:
             raise NoEventHistory(f"stream {event_tag} has no events")
         if event_id > top or event_id < 0:
             raise InvalidEventId(f"{event_id} isn't between 0 and {top}")
-        keep = self.events(event_tag).where(F.col("event_id") <= event_id)
-        path = f"{self.path}/rewound/{event_tag}-{self.next_seq('event_watermark')}"
-        keep.write.parquet(path)
-        kept = self.spark.read.schema(SCHEMAS["chain_events"]).parquet(path)
-        kept.drop("event_tag").sortWithinPartitions("event_id").write.mode("overwrite").parquet(f"{self.path}/chain_events/event_tag={event_tag}")
         self._point(event_tag, event_id)
 
-    def _point(self, event_tag: int, event_id: int) -> None:
-        self.append("event_watermark", self.spark.createDataFrame([(event_tag, event_id, self.next_seq("event_watermark"))], SCHEMAS["event_watermark"]))
+    def _point(self, event_tag: int, event_id: int, seq: int | None = None) -> None:
+        seq = seq or max(self.next_seq("chain_events"), self.next_seq("event_watermark"))
+        self.append("event_watermark", self.spark.createDataFrame([(event_tag, event_id, seq)], SCHEMAS["event_watermark"]))
 
     # -------------------------------------------------------- transactions
 
@@ -162,6 +174,10 @@ class Store:
         """Append index rows of blocks (tag, block_number, block_hash, tx_hashes)."""
         self.append("tx_index", txs.select("tag", F.explode("tx_hashes").alias("tx_hash"), "block_number", "block_hash").distinct())
 
+    def transactions(self, tag: int) -> DataFrame:
+        """The transaction index of a tag; rows that a rerun wrote again show once."""
+        return self.read("tx_index").where(F.col("tag") == tag).distinct()
+
     # ----------------------------------------------------------------- dlq
 
     def send(self, topic: str, message_id: str, data: str, retries: int = 0) -> None:

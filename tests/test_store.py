@@ -67,10 +67,54 @@ def test_cycles(spark, world):
         ingest.store.persist_blocks(ingest.fetch(0, 3).withColumn("parent_hash", F.lit("zz")).drop("payload"))
 
 
+def test_lost_jobs_show_nothing(spark, tmp_path, monkeypatch):
+    """Jobs that die between their data and their pointer leave nothing to see, and reruns show once."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    session = Session(store, CHAIN, tag=0)
+    block = lambda h, x="": (1, h, f"h{h}{x}", f"h{h - 1}" if h else "", max(h - 1, 0), False, None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "tag int, height bigint, hash string, parent_hash string, parent_height bigint, skipped boolean, block_ts timestamp")
+    event = lambda i, x="": (0, i, "BLOCK_ADDED", 1, i - 1, f"h{i - 1}{x}", f"h{i - 2}" if i > 1 else "", False)
+    events = lambda *rows: spark.createDataFrame(list(rows), "event_tag int, event_id bigint, event_type string, tag int, height bigint, hash string, parent_hash string, skipped boolean")
+    store.persist_blocks(frame(*map(block, range(3))))
+    store.add_event_entries(0, events(event(1), event(2)))
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_):
+        raise Lost
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "set_watermark", lost)
+        m.setattr(Store, "_point", lost)
+        with pytest.raises(Lost):
+            store.persist_blocks(frame(block(2, "x")))
+        with pytest.raises(Lost):
+            store.add_event_entries(0, events(event(3), event(4, "lost")))
+    assert session.get_latest_block() == 2 and session.get_block_metadata(2).first()["hash"] == "h2"
+    assert session.get_block(2).count() == 1 and store.events(0).count() == 2
+    assert store.add_event_entries(0, events(event(3))) == 3
+    assert [(r.event_id, r.hash) for r in store.events(0).orderBy("event_id").collect()] == [(1, "h0"), (2, "h1"), (3, "h2")]
+    assert store.add_event_entries(0, events(event(4))) == 4 and store.events(0).where("event_id = 4").first()["hash"] == "h3"
+    store.set_max_event_id(0, 1)
+    assert store.events(0).count() == 1
+    assert store.add_event_entries(0, events(event(2))) == 2 and store.events(0).count() == 2
+    payload = lambda x: spark.createDataFrame([(1, 2, "h2", False, bytearray(x))], "tag int, height bigint, hash string, skipped boolean, payload binary")
+    store.put_payloads(payload(b"zzz"), "NONE")
+    store.put_payloads(payload(b"aaa"), "NONE")
+    assert bytes(session.get_block(2).first()["payload"]) == b"aaa"
+    txs = spark.createDataFrame([(1, 2, "h2", ["t"])], "tag int, block_number bigint, block_hash string, tx_hashes array<string>")
+    store.index_transactions(txs)
+    store.index_transactions(txs)
+    assert session.get_block_by_transaction("t").count() == 1
+
+
 def test_transactions_and_messages(spark, world):
     ingest, session, _, _ = world
     ingest.store.index_transactions(spark.createDataFrame([(1, 3, "h3", ["t1", "t2"]), (1, 13, "h13", ["t3"]), (1, 13, "h13x", ["t3"])], "tag int, block_number bigint, block_hash string, tx_hashes array<string>"))
-    assert [r.block_hash for r in session.get_block_by_transaction("t3").collect()] == ["h13x"] and session.get_block_by_transaction("none").count() == 0
+    assert [r.block_hash for r in session.get_block_by_transaction("t3").collect()] == ["h13x"] 
+    with pytest.raises(errors.NotFound):
+        session.get_block_by_transaction("none")
     s = ingest.store
     s.send("failed_block", "m1", "{}")
     s.send("failed_block", "m2", "{}")
