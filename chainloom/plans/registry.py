@@ -494,7 +494,11 @@ def x2_evm_headers(spark, d):
     plain=True,
 )
 def x3_evm_transactions(spark, d):
-    t = parse_evm.transactions(parse_evm.parse_headers(evm_raw(spark, d)))
+    return _transactions(evm_raw(spark, d))
+
+
+def _transactions(raw: DataFrame) -> DataFrame:
+    t = parse_evm.transactions(parse_evm.parse_headers(raw))
     return t.select("number", "tx_hash", "from_address", "to_address", "nonce", "gas", "gas_price", F.col("value").cast("string").alias("value"), "type", "priority_fee")
 
 
@@ -531,7 +535,15 @@ def x4_evm_receipts(spark, d):
     plain=True,
 )
 def x10_token_transfers(spark, d):
-    return parse_evm.token_transfers(parse_evm.receipt_logs(evm_receipts(spark, d)))
+    return _transfers(evm_receipts(spark, d))
+
+
+def _transfers(raw: DataFrame) -> DataFrame:
+    return parse_evm.token_transfers(parse_evm.receipt_logs(raw))
+
+
+#: Queries of parsers, in two parts: what builds their payloads, and the parser.
+PREPARED = {"x3_evm_transactions": (evm_raw, _transactions), "x10_token_transfers": (evm_receipts, _transfers)}
 
 
 _TRACE = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS k, l_partkey, l_suppkey, l_linenumber, l_returnflag = 'R' AS bad FROM lineitem"
@@ -542,13 +554,20 @@ _TRACE = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS k, l_p
     plain=True,
 )
 def x6_flat_traces(spark, d):
+    return _flat(trace_raw(spark, d))
+
+
+def trace_raw(spark, d) -> DataFrame:
     line = table(spark, d, "lineitem")
     bad = F.col("l_returnflag") == "R"
     leaf = F.struct(F.lit("CREATE").alias("type"), _hex(F.col("l_suppkey")).alias("value"))
     inner = F.struct(F.lit("DELEGATECALL").alias("type"), F.when(bad, "reverted").alias("error"), F.array(leaf).alias("calls"))
     last = F.struct(F.lit("STATICCALL").alias("type"), F.when(bad, "reverted").alias("error"), F.lit(None).cast("array<struct<type string, value string>>").alias("calls"))
     root = F.struct(F.lit("CALL").alias("type"), _hex(F.col("l_partkey")).alias("value"), F.array(inner, last).alias("calls"))
-    raw = line.select(_md5(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("tx_hash"), F.to_json(root).alias("trace"))
+    return line.select(_md5(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("tx_hash"), F.to_json(root).alias("trace"))
+
+
+def _flat(raw: DataFrame) -> DataFrame:
     t = parse_evm.flat_traces(raw)
     return t.select("tx_hash", "position", F.array_join(F.col("trace_address").cast("array<string>"), ",").alias("trace_address"), "type", "trace_type", "value", "subtraces", "error", "trace_id")
 
@@ -745,5 +764,6 @@ def w7_messages(spark, d):
     last = continuity.versions_as_of(states.unionByName(gone), "event_id", "write_seq", 100)
     return last.where(~F.col("deleted")).groupBy(F.col("event_type").alias("topic"), "retries").agg(F.count("*").alias("n"))
 
+PREPARED["x6_flat_traces"] = (trace_raw, _flat)
 
 from chainloom.plans import blocks  # noqa: E402, F401 - registers more queries
