@@ -108,7 +108,7 @@ def mini_batch(height, start: int, size: int) -> Column:
 
 def weighted_pick(key, weights: list[int]) -> Column:
     """Index of an endpoint, by weight, the same for the same key."""
-    point = F.pmod(F.crc32(_col(key).cast("string")), F.lit(sum(weights)))
+    point = F.conv(F.left(F.md5(_col(key).cast("string").cast("binary")), F.lit(8)), 16, 10).cast("bigint") % F.lit(sum(weights))
     out, end = F.lit(len(weights) - 1), sum(weights)
     for i in range(len(weights) - 2, -1, -1):
         end -= weights[i + 1]

@@ -65,3 +65,43 @@ def canary(tips: DataFrame, height_limit: int, time_limit_s: int) -> DataFrame:
 
 def missing_workflows(expected: DataFrame, running: DataFrame) -> DataFrame:
     return expected.join(running.select("workflow_id"), "workflow_id", "left_anti")
+
+
+def polling_canary(writes: DataFrame, watermarks: DataFrame, events: DataFrame, index: DataFrame, tag: int, size: int) -> DataFrame:
+    """(api, n, ok): what the read operators answer over the last ``size`` heights, each asked once.
+
+    One row of each answer's count; ok where it is what the range and the tip imply.
+    """
+    from chainloom.operators import reads
+
+    tip = reads.tip_height(watermarks, tag)
+    low, last = max(tip - size + 1, 0), reads.last_event(events).agg(F.max("max_event_id")).first()[0] or 0
+    span = tip - low + 1
+    asked = {
+        "latest_block": (reads.latest_block(watermarks, tag), 1),
+        "block_by_height": (reads.block_by_height(writes, tag, tip), 1),
+        "blocks_by_range": (reads.blocks_by_range(writes, tag, low, tip + 1), span),
+        "block_files": (reads.blocks_by_range(writes, tag, low, tip + 1).where("hash is not null or skipped"), span),
+        "event_by_id": (reads.event_by_id(events, last, last), 1),
+        "events_after": (reads.events_after(events, last - min(size, last), size, last), min(size, last)),
+        "first_event_of_height": (reads.first_event_of_height(events, low), 1),
+        "blocks_of_transactions": (reads.blocks_of_transactions(index.where(F.col("block_number").between(low, tip)), writes.where(F.col("height").between(low, tip))), None),
+    }
+    rows = None
+    for api, (found, n) in asked.items():
+        row = found.agg(F.count("*").alias("n")).select(F.lit(api).alias("api"), "n", (F.col("n") >= 0 if n is None else F.col("n") == n).alias("ok"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def streaming_canary(events: DataFrame, n: int = 4, back: int = 2) -> DataFrame:
+    """The ``n`` events of each stream from ``back`` before its last on, as far as there are any."""
+    last = events.groupBy("event_tag").agg(F.max("event_id").alias("_last"))
+    met = events.join(F.broadcast(last), "event_tag")  # a row per stream
+    return met.where((F.col("event_id") > F.col("_last") - back - 1) & (F.col("event_id") <= F.col("_last") - back - 1 + n)).drop("_last")
+
+
+def method_counters(calls: DataFrame, expected: list[str] = ()) -> DataFrame:
+    """Of each method: calls that went well, calls that failed, and the mean milliseconds.  ``calls``: method, error (null: none), ms; errors that are ``expected`` count as well."""
+    well = F.col("error").isNull() | F.col("error").isin(*expected) if expected else F.col("error").isNull()
+    return calls.groupBy("method").agg(F.count_if(well).alias("successes"), F.count_if(~well).alias("errors"), F.avg("ms").alias("mean_ms"))

@@ -324,3 +324,117 @@ def x12_minting_transactions(spark, d):
     from chainloom.plans.registry import bitcoin_raw
 
     return parse_other.bitcoin_mints(parse_other.bitcoin_blocks(bitcoin_raw(spark, d))).select("height", "tx", "mints")
+
+
+# --------------------------------------------------------------------- monitors
+
+
+@query("SELECT unnest(['latest_block', 'block_by_height', 'blocks_by_range', 'block_files', 'event_by_id', 'events_after', 'first_event_of_height']) AS api, unnest([1, 1, 50, 50, 1, 50, 1]) AS n, TRUE AS ok UNION ALL SELECT 'blocks_of_transactions', count(*), TRUE FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN (SELECT max(o_orderkey) FILTER (WHERE o_orderkey % 100 = 99) - 37 AS t FROM orders) ON l_orderkey BETWEEN t - 49 AND t WHERE l_orderkey % 17 <> 5)", plain=True)
+def m2_polling_canary(spark, d):
+    from chainloom.operators import verify
+    from chainloom.sources import derived
+
+    return verify.polling_canary(derived.block_writes(spark, d), derived.watermarks(spark, d), derived.chain_events(spark, d), derived.tx_index(spark, d), 1, 50)
+
+
+@query("SELECT event_tag, event_id, event_type, height FROM all_events QUALIFY event_id > max(event_id) OVER (PARTITION BY event_tag) - 3")
+def m3_streaming_canary(spark, d):
+    from chainloom.operators import verify
+    from chainloom.sources import derived
+
+    both = derived.chain_events(spark, d).unionByName(derived.chain_events(spark, d, 1))
+    return verify.streaming_canary(both).select("event_tag", "event_id", "event_type", "height")
+
+
+@query("SELECT event_type AS method, count(*) FILTER (WHERE event_id % 5 <> 1) AS successes, count(*) FILTER (WHERE event_id % 5 = 1) AS errors, round(avg(event_id % 100), 6) AS mean_ms FROM events GROUP BY 1", plain=True)
+def m6_method_counters(spark, d):
+    from chainloom.operators import verify
+
+    n = F.col("event_id") % 5
+    calls = table(spark, d, "events").select(F.col("event_type").alias("method"), F.when(n == 0, "NOT_FOUND").when(n == 1, "INTERNAL").alias("error"), (F.col("event_id") % 100).alias("ms"))
+    return verify.method_counters(calls, ["NOT_FOUND"]).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("SELECT o_orderkey % 7 AS node, o_orderkey AS chain, o_orderkey % 5 AS block_height_delta, CASE WHEN o_orderkey % 5 <= 2 THEN 'success' ELSE 'error' END AS block_height_sla, o_orderkey % 90 AS time_delta_s, CASE WHEN o_orderkey % 90 <= 60 THEN 'success' ELSE 'error' END AS time_sla FROM orders", plain=True)
+def m1_node_canary(spark, d):
+    from chainloom.operators import verify
+
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    tips = o.select(key.alias("chain"), (key + key % 5).alias("node_height"), key.alias("stored_height"), key.alias("event_height"), F.timestamp_seconds(F.lit(1000000) + key % 90).alias("node_ts"), F.timestamp_seconds(F.lit(1000000)).alias("stored_ts"))
+    return verify.canary(tips, 2, 60).select((F.col("chain") % 7).alias("node"), "chain", "block_height_delta", "block_height_sla", "time_delta_s", "time_sla")
+
+
+# ----------------------------------------------------------------------- stores
+
+
+def _store(spark):
+    from chainloom.sources.store import Store, new_path
+
+    return Store(spark, new_path(spark, "store"))
+
+
+@query("SELECT tag, height, hash, parent_hash, skipped FROM canonical")
+def w1_persisted_blocks(spark, d):
+    """Canonical blocks of a store that was filled in two jobs, and in which a third was lost before its pointer moved."""
+    from chainloom.operators import reads
+    from chainloom.sources import derived
+
+    store, blocks = _store(spark), reads.canonical_blocks(derived.block_writes(spark, d)).drop("write_seq")
+    half = blocks.agg(F.max("height")).first()[0] // 2
+    store.persist_blocks(blocks.where(F.col("height") <= half))
+    before = blocks.where((F.col("height") <= half) & ~F.col("skipped")).agg(F.max(F.struct("height", "hash")).alias("b")).first()["b"]
+    store.persist_blocks(blocks.where(F.col("height") > half), last_block=(before["height"], before["hash"]))
+    lost = blocks.withColumn("hash", F.lit("lost")).withColumn("object_key", F.lit(None).cast("string")).withColumn("write_seq", F.lit(store.next_seq("block_meta")))
+    store.append("block_meta", lost)
+    return store.canonical(1).select("tag", "height", "hash", "parent_hash", "skipped")
+
+
+@query("SELECT event_tag, event_id, event_type, height, hash FROM events0")
+def w3_event_log(spark, d):
+    """A stream that was appended to, taken back by its pointer, and written on."""
+    from chainloom.sources import derived
+
+    store, events = _store(spark), derived.chain_events(spark, d)
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    store.add_event_entries(0, events.where(F.col("event_id") <= half))
+    store.append("chain_events", events.where(F.col("event_id") > half).withColumn("hash", F.lit("lost")).withColumn("write_seq", F.lit(store.next_seq("chain_events"))))
+    store.set_max_event_id(0, half // 2)
+    store.add_event_entries(0, events.where(F.col("event_id") > half // 2))
+    return store.events(0).select("event_tag", "event_id", "event_type", "height", "hash")
+
+
+@query("SELECT height, CASE WHEN skipped THEN NULL WHEN height % 2 = 0 THEN 'new ' || hash ELSE 'old ' || hash END AS payload FROM canonical")
+def r16_payloads(spark, d):
+    """Payloads packed in two ways, half of them written again; skipped blocks have none."""
+    from chainloom.operators import reads
+    from chainloom.sources import derived
+
+    store, blocks = _store(spark), reads.canonical_blocks(derived.block_writes(spark, d)).select("tag", "height", "hash", "skipped")
+    body = lambda word: F.concat(F.lit(word), F.col("hash")).cast("binary")
+    store.put_payloads(blocks.withColumn("payload", body("old ")))
+    store.put_payloads(blocks.where("height % 2 = 0").withColumn("payload", body("new ")), "NONE")
+    return store.payloads(blocks).select("height", F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT tag, tx_hash, block_number, block_hash FROM tx_index")
+def w5_transaction_index(spark, d):
+    """An index that a rerun wrote twice in part."""
+    from chainloom.sources import derived
+
+    store, index = _store(spark), derived.tx_index(spark, d)
+    packed = index.groupBy("tag", "block_number", "block_hash").agg(F.collect_list("tx_hash").alias("tx_hashes"))
+    store.index_transactions(packed)
+    store.index_transactions(packed.where("block_number % 3 = 0"))
+    return store.transactions(1).select("tag", "tx_hash", "block_number", "block_hash")
+
+
+@query("SELECT event_type AS topic, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS retries, count(*) AS n FROM events WHERE event_id % 3 <> 1 GROUP BY 1, 2", plain=True)
+def st10_settled_messages(spark, d):
+    """Messages of a queue of failures after one round: some are done, some wait for another try, some had no turn."""
+    store = _store(spark)
+    sent = table(spark, d, "events").select(F.col("event_id").cast("string").alias("message_id"), F.col("event_type").alias("topic"), F.lit(0).alias("retries"), F.current_timestamp().alias("sent_ts"), F.lit("{}").alias("data"), F.lit(False).alias("deleted"), F.lit(1).cast("bigint").alias("write_seq"))
+    store.append("dlq", sent)
+    n = F.col("message_id").cast("bigint") % 3
+    store.settle(store.messages().where(n != 0).select("message_id", (n == 1).alias("done")))
+    return store.messages().groupBy("topic", "retries").agg(F.count("*").alias("n"))

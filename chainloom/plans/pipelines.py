@@ -85,6 +85,12 @@ class Ingest:
             blocks.unpersist()
         return {"fork": fork, "distance": distance, "blocks": n, "result": result}
 
+    def next_heights(self, latest: int, most: int = 100) -> DataFrame:
+        """Heights that a fast cycle takes up: those above the tip, with no look for reorgs."""
+        tip, _ = self.store.snapshot(self.tag)
+        start = max(tip + 1, self.chain.block_start_height)
+        return self.store.spark.range(start, min(latest, start + most - 1) + 1).toDF("height")
+
     def stream_events(self, event_tag: int, batch: int = 500) -> int:
         """One cycle of the event stream: removals down to the fork, then additions; returns the last event id."""
         canonical = self.store.canonical(self.tag)

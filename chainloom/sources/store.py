@@ -9,6 +9,8 @@ events back moves the pointer only.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,16 @@ SCHEMAS = {
 LAYOUT = {"block_meta": ("tag", "height"), "raw_blocks": ("tag", "height"), "chain_events": ("event_tag", "event_id"), "tx_index": ("tag", "tx_hash")}
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); a temporary one for a local master without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='chain-')}"
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Store:
     """Tables below ``path``."""
@@ -204,3 +216,12 @@ class Store:
         if m is None:
             raise NotFound(f"no message {message_id}")
         return m
+
+    def settle(self, outcomes: DataFrame, most_retries: int | None = None) -> None:
+        """Write down what became of messages (message_id, done): those that are done go, the others wait with one retry more.
+
+        With ``most_retries`` a message that has used them up goes too.  One append for all of them.
+        """
+        now = self.messages().join(outcomes, "message_id").withColumn("retries", F.when(F.col("done"), F.col("retries")).otherwise(F.col("retries") + 1))
+        spent = F.lit(False) if most_retries is None else F.col("retries") > most_retries
+        self.append("dlq", now.withColumn("deleted", F.col("done") | spent).withColumn("sent_ts", F.current_timestamp()).withColumn("write_seq", F.lit(self.next_seq("dlq"))))
