@@ -43,7 +43,9 @@ class Encoder:
     For byte-level BPE a text's ids are those of its space-led words in turn wherever no
     space stands beside other white space.  So each distinct word is split and given to
     the file's model once, and then remembered; of words not seen lately the older half
-    is forgotten.  Other texts, and those with added tokens in them, are encoded whole.
+    is forgotten.  Other texts, those with added tokens in them, and those with a sign that
+    the file's pre-tokenizer takes for another kind (letter, number, space) than ``regex``
+    or Python do are encoded whole; signs are judged when first seen.
     """
 
     def __init__(self, path: str, kind: str):
@@ -60,6 +62,27 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT)
         self.by_word = self._splits()
+        self.judged: set[str] = set()
+        self.odd: set[str] = set()
+        if self.by_word:
+            self.judge(set(map(chr, range(128))))
+
+    def judge(self, signs: set[str]) -> None:
+        """Keep those of ``signs`` that are of one kind here and of another to the file's pre-tokenizer."""
+        new = sorted(signs - self.judged)
+        self.judged.update(new)
+        for begin in range(0, len(new), 1 << 14):
+            some = new[begin : begin + (1 << 14)]
+            probe = "".join([f"a{c}1{c}!{c}!" for c in some])  # a sign joins what is of its kind before it
+            kinds = []
+            for starts in ([m.start() for m in self.split.finditer(probe)], [at for _, (at, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]):
+                cut = np.zeros(len(probe), dtype=bool)
+                cut[starts] = True
+                joins = ~cut.reshape(-1, 7)[:, [1, 3, 5]]
+                kinds.append(np.where(joins.any(axis=1), joins.argmax(axis=1), 3))  # letter, number, other; 3: space
+            for c, here, there in zip(some, *(k.tolist() for k in kinds)):
+                if here != there or (c.isalpha() and there != 0) or (there == 3 and not c.isspace()):
+                    self.odd.add(c)
 
     def _splits(self) -> bool:
         import json
@@ -122,7 +145,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
-        split = [[] if any(a in t for a in self.added) else t.split(" ") for t in texts]
+        seen = set("".join([t for t in texts if not t.isascii()]))
+        if not seen <= self.judged:
+            self.judge(seen)
+        odd = seen & self.odd | {c for c in self.odd if c.isascii()}
+        split = [[] if any(a in t for a in self.added) or (odd and not odd.isdisjoint(t)) else t.split(" ") for t in texts]
         every: list[str] = []
         for parts in split:
             every += parts[1:]
@@ -207,8 +234,9 @@ def unpack(control: bytes, data: bytes, counts) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = 0, part_bytes: int = PART_BYTES) -> None:
     """Encode every whole text and write the format described above to ``path``, in ascending doc_id order.
 
-    Null texts count as empty: they hold the end id only.  Null doc_ids come first; rows of
-    one doc_id stand together, ordered by their ids.  An empty table writes no blocks.
+    Files and their blocks follow the order of doc_ids.  Null texts count as empty: they
+    hold the end id only.  Null doc_ids come first; rows of one doc_id stand together, in
+    as many parts as they fill.  An empty table writes no blocks.
     """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
@@ -239,11 +267,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
 
     total = sum(r["n"] for r in order)
     parts = max(32, -(-total * 3 // (2 * part_bytes)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"] or []
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    cuts = np.array(found["cuts"] or [], dtype=np.int64)
+    nulls = -(-found["none"] * parts // max(found["n"], 1))  # parts of rows without a doc_id
 
     def code(batches):
+        at = 0
         for batch in batches:
-            doc = batch["doc_id"].to_pylist()
+            doc = batch["doc_id"]
             n, control, data = [], [], []
             for x in batch["ids"].to_pylist():
                 r = ranks.value[np.frombuffer(x, dtype=kind)]
@@ -251,13 +282,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
                 c, d = pack(r)
                 control.append(c)
                 data.append(d)
-            part = [0 if i is None else int(np.searchsorted(cuts, i, side="left")) for i in doc]
+            # a doc_id of many rows is several cuts, and its rows are dealt to the parts between them in turn
+            value = doc.fill_null(0).to_numpy()
+            first, last = nulls + np.searchsorted(cuts, value, side="left"), nulls + np.searchsorted(cuts, value, side="right")
+            none = doc.is_null().to_numpy(zero_copy_only=False)
+            first, last = np.where(none, 0, first), np.where(none, max(nulls - 1, 0), np.maximum(last - 1, first))
+            part = first + (at + np.arange(len(value))) % (last - first + 1)
+            at += len(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["part", "doc_id", "n", "control", "data"]
+                [pa.array(part, pa.int32()), doc, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["part", "doc_id", "n", "control", "data"]
             )
 
     coded = ids.mapInArrow(code, "part int, doc_id bigint, n bigint, control binary, data binary")
-    sorted_ = coded.repartition(parts, "part").sortWithinPartitions(F.asc("part"), F.asc_nulls_first("doc_id"), "n", "data")
+    sorted_ = coded.repartitionById(parts + nulls, F.col("part")).sortWithinPartitions(F.asc("part"), F.asc_nulls_first("doc_id"), "n", "data")
 
     def blocks(batches):
         part, at, number, rows, tokens = None, 0, 0, [], 0

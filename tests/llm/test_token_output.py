@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chainloom.llm import token_output as t
@@ -36,6 +37,37 @@ def test_files_hold_what_the_library_says(spark, tmp_path, monkeypatch):
         at += len(ids)
 
 
+def test_every_sign_is_encoded_as_the_library_does():
+    enc = t.encoder(PATH, "<u2")
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    enc.judge(set(signs))
+    assert enc.judged >= set(signs) and {"\x1c", "\x85", "é", "中", "\u088f"} - {"é", "中"} >= enc.odd & {"\x1c", "\x85", "é", "中", "\u088f"}
+    for begin in range(0, len(signs), 1 << 14):
+        some = [f"a {c}'s" for c in signs[begin : begin + (1 << 14)]]
+        assert enc.encode(some) == enc.whole(some)
+    rng = random.Random(12)
+    odd = sorted(enc.odd) or ["\u088f"]
+    mixed = ["".join(rng.choice(["a", "1", "!", " ", "'s", "é", "\n", rng.choice(signs), rng.choice(odd)]) for _ in range(12)) for _ in range(20000)]
+    assert enc.encode(mixed) == enc.whole(mixed)
+
+
+def test_hot_ids_fill_several_parts_and_files_follow_ids(spark, tmp_path):
+    rows = [(7, f"hot row {i} " * 20) for i in range(600)] + [(None, f"no id {i} " * 20) for i in range(400)] + [(i, f"own id {i} " * 20) for i in range(-100, 100)]
+    path = f"file://{tmp_path}/hot"
+    t.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path, PATH, part_bytes=2000)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    by_part = {}
+    for r in blocks.orderBy("part", "block").collect():
+        by_part.setdefault(r.part, []).extend(r.doc_ids)
+    ids = [i for p in sorted(by_part) for i in by_part[p]]
+    assert ids == sorted([d for d, _ in rows], key=lambda d: (d is not None, d or 0))
+    assert max(map(len, by_part.values())) < 200 and sum(7 in p for p in by_part.values()) > 5
+    names = {r.file: r.part for r in blocks.select(F.input_file_name().alias("file"), "part").distinct().collect()}
+    assert [names[f] for f in sorted(names)] == sorted(names.values())
+    got = t.read_tokens(spark, path).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    assert len(got) == len(rows) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string, ids string")
     t.write_tokens(docs, f"file://{tmp_path}/none", PATH)
