@@ -5,9 +5,12 @@ everything iterative runs over that much smaller table.  Entropy balancing asks
 document rates as near to 1 (in relative entropy) as the token constraint of each source
 allows, with no rate above the limit.  The dual has one multiplier per source; the rate of
 a document of ``size`` words is ``min(limit, exp(multiplier * size / mean size))``.
-Newton's method, kept inside a bracket, finds all multipliers at once.  Rates are then
-rounded into whole copies, largest sizes first, carrying the rounding error on, so that a
-source's words end within about its smallest document of the target.
+Newton's method, kept inside a bracket, finds all multipliers at once.
+
+Rates are then rounded: the copies of a bin (the documents of one source and size) are the
+floor or the ceiling of what its rate makes, and so are those of each of its documents.
+Running sums over sizes choose which, so that at most half of the largest document is
+lacking or over; then the choice is turned for bins, largest first, that make up for it.
 """
 
 from __future__ import annotations
@@ -15,18 +18,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm.shared import checkpoint
+from chainloom.llm.shared import Scratch, word_count
 
 #: Rows of one (source, size) that are ranked together; larger groups are split by a hash.
 RANKED = 256
 #: Newton steps at most, and the relative error at which they end.
 STEPS, TOLERANCE = 60, 1e-7
-
-
-def word_count(text: str):
-    """Number of [^\\x20\\x09-\\x0D]+ in a text; null: 0."""
-    plain = F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.filter(F.split(plain, " "), lambda w: w != "")), F.lit(0)).cast("long")
+#: Sources, at most: their targets are found in one task.
+SOURCES = 1_000_000
+#: Rows of the plan (sources and sizes) that are broadcast, at most; beyond it documents are shuffled to them.
+PLAN_ROWS = 1_000_000
+#: Passes that turn roundings, at most.
+PASSES = 12
 
 
 def source_targets(sources: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -63,10 +66,12 @@ def balance(bins: DataFrame, targets: DataFrame, limit: float = 3.0) -> DataFram
     """(key, multiplier, mean, full, target) per source, where the words at its rates meet its target.
 
     ``bins``: (key, size, n).  ``targets``: (key, target, source_size).  ``full`` marks
-    sources whose target is their limit: all rates are the limit.
+    sources whose target is their limit: all rates are the limit.  Raises RuntimeError if
+    a target isn't met, within TOLERANCE, after STEPS steps.
     """
+    scratch = Scratch(bins.sparkSession, "balance")
     means = bins.where("size > 0").groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
-    state = checkpoint(
+    state = scratch.write(
         targets.join(means, "key").select(
             "key",
             "target",
@@ -97,86 +102,157 @@ def balance(bins: DataFrame, targets: DataFrame, limit: float = 3.0) -> DataFram
         )
         error = F.coalesce(F.abs(off) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(0.0))
         done = F.col("full") | (error <= TOLERANCE)
-        state = checkpoint(
+        before, state = state, scratch.write(
             new.select("key", "target", "mean", "full", F.when(done, F.col("multiplier")).when(inside, step).otherwise(other).alias("multiplier"), low.alias("low"), high.alias("high"), error.alias("error"))
         )
-        if not state.where(~F.col("full") & (F.col("error") > TOLERANCE)).take(1):
-            break
-    return state
+        scratch.remove(before)
+        if state.where(~F.col("full") & (F.col("error") > TOLERANCE)).isEmpty():
+            return state
+    raise RuntimeError(f"targets are not met after {STEPS} steps")
 
 
-def _rounded(bins: str, limit: float):
-    """Copies of each bin: what its own words and those lacking so far make, rounded, within the limit.
+def _rounded(rated: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, size, n, rate, copies): copies of each bin, the floor or the ceiling of n * rate.
 
-    The array holds one entry per distinct size of a source, not per document.
+    By size, a bin takes its ceiling where the running sum of fractions passes a half.  So
+    the bins so far never have more than half a document too much or too few, and a source
+    at most half of its largest one in words.  Then bins are turned, from the largest
+    that is not too large on, as long as they make up for what is lacking or over, and at last
+    bins against one another.  Windows hold one row per distinct size of a source, however many documents it has.
     """
-    kind = "array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>"
-
-    def step(acc, x):
-        lack = acc["lack"] + x["n"] * x["rate"] * x["size"]
-        copies = F.least(F.greatest(F.round(lack / x["size"]), F.lit(0.0)), limit * x["n"]).cast("bigint")
-        row = F.struct(x["size"].alias("size"), x["n"].alias("n"), x["rate"].alias("rate"), copies.alias("copies"))
-        return F.struct((lack - copies * x["size"]).alias("lack"), F.array_append(acc["out"], row).cast(kind).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("lack"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.col(bins), start, step, lambda acc: acc["out"])
+    by_size = Window.partitionBy("key").orderBy(F.desc("size"))
+    exact = F.col("n") * F.col("rate")
+    parts = rated.withColumn("low", F.floor(exact + 1e-9)).withColumn("part", F.greatest(exact - F.col("low"), F.lit(0.0)))
+    parts = parts.withColumn("part", F.when(F.col("part") < 1e-9, 0.0).otherwise(F.col("part")))
+    sums = parts.withColumn("total", F.sum("part").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    up = (F.floor(F.col("total") + 0.5) > F.floor(F.col("total") - F.col("part") + 0.5)) & (F.col("part") > 0)
+    plan = scratch.write(sums.select("key", "size", "n", "rate", "low", "part", up.alias("up")))
+    for _ in range(PASSES):
+        # words that are lacking (over, if less than 0), as whole numbers of millionths so that reruns agree
+        over = F.when(F.col("up"), 1 - F.col("part")).otherwise(-F.col("part")) * F.col("size")
+        lacks = plan.groupBy("key").agg((-_exact_sum(over)).alias("lack"))
+        could = plan.join(lacks, "key").withColumn("helps", (F.col("part") > 0) & (F.col("up") == (F.col("lack") < 0))).withColumn("lack", F.abs("lack"))
+        fits = F.col("helps") & (F.col("size") <= F.col("lack"))
+        run = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+        could = scratch.write(could.withColumn("turn", fits & (run <= F.col("lack"))))
+        swaps = _swaps(could.join(could.where("turn").select("key").distinct(), "key", "left_anti"))
+        new = could.join(swaps.withColumn("swap", F.lit(True)), ["key", "size"], "left").withColumn("turn", F.col("turn") | F.coalesce("swap", F.lit(False)))
+        before, plan = plan, scratch.write(new.select("key", "size", "n", "rate", "low", "part", (F.col("up") != F.col("turn")).alias("up"), "turn"))
+        scratch.remove(before, could)
+        if plan.where("turn").isEmpty():
+            break
+    return plan.select("key", "size", "n", "rate", (F.col("low") + F.col("up").cast("int")).cast("bigint").alias("copies"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0, carry_source: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, taken) for every document.
+def _swaps(could: DataFrame) -> DataFrame:
+    """(key, size) of bins to be turned: one that helps too much, with one that undoes most of what is too much, or alone.
 
-    Null texts and texts of no words have size 0 and are taken 0 words; a null source is a
-    source of its own, last in order.  ``taken`` = copies * size, copies at most ``limit``
-    (a whole number then).  Equal rows may differ by one copy; which of several rows with
-    equal (source, size) gets one more goes by doc_id, so reruns agree.  Repeated rows
-    count as that many documents; an empty table gives an empty table.
+    Each bin that helps looks for the nearest size to its surplus among the bins that would
+    undo it: a window over both in order, with size 0 standing for none.
+    """
+    undo = could.where("part > 0 and not helps").select("key", F.col("size").cast("double").alias("at"), F.lit(None).cast("bigint").alias("size"), "lack", F.col("size").alias("other"))
+    none = could.select("key", F.lit(0.0).alias("at"), F.lit(None).cast("bigint").alias("size"), "lack", F.lit(0).cast("bigint").alias("other")).distinct()
+    helps = could.where("helps").select("key", (F.col("size") - F.col("lack")).alias("at"), "size", "lack", F.lit(None).cast("bigint").alias("other"))
+    order = Window.partitionBy("key").orderBy("at", F.col("size").isNotNull())
+    below = F.last("other", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("other", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    looked = undo.unionByName(none).unionByName(helps).select("key", "at", "size", "lack", below.alias("below"), above.alias("above"))
+    found = looked.select("key", "at", "size", "lack", F.explode(F.array("below", "above")).alias("near")).where("size is not null and near is not null")
+    off = F.abs(F.col("at") - F.col("near"))
+    best = found.groupBy("key").agg(F.min(F.struct(off.alias("off"), "size", "near", "lack")).alias("b")).where("b.off < b.lack - 1e-3")
+    return best.select("key", F.explode(F.array("b.size", "b.near")).alias("size")).where("size > 0")
+
+
+def _place():
+    """Where a row stands among those of its bin: parts are a hash's, so that hot bins are ranked in many tasks."""
+    return F.struct("part", F.col("doc_id").isNotNull().alias("known"), "doc_id", "sig")
+
+
+def _plan(docs: DataFrame, doc_id: str, text: str, source: str, limit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, source, key, size, sig), targets by key, and the plan.
+
+    The plan has of each bin with words: n, rate, ``base`` (copies of each document),
+    ``parts``, and ``cut``: documents that stand before it are taken once more.  Of the
+    ``cut_rows`` equal rows that stand at it, ``cut_more`` are.
     """
-    sized = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    scratch = Scratch(docs.sparkSession, "mix")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    counted = checkpoint(sized.groupBy("source", "size").agg(F.count("*").alias("n")).withColumn("key", key))
-    totals = counted.groupBy("source", "key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    targets = checkpoint(source_targets(totals, limit).withColumn("key", key))
-    bins = counted.select("key", "size", "n")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("sig"))
+    sized = scratch.write(sized.withColumn("key", key))
+    counted = scratch.write(sized.groupBy("source", "key", "size").agg(F.count("*").alias("n")))
+    totals = scratch.write(counted.groupBy("source", "key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    if totals.count() > SOURCES:
+        raise ValueError(f"there are more than {SOURCES} sources")
+    targets = scratch.write(source_targets(totals.drop("key"), limit).withColumn("key", key))
+    bins = counted.where("size > 0").select("key", "size", "n")
     state = balance(bins, targets, limit)
+    plan = _rounded(bins.join(state, "key").select("key", "size", "n", _rate(limit).alias("rate")), scratch)
+    parts = F.ceil(F.col("n") / RANKED)
+    plan = scratch.write(plan.select("*", F.floor(F.col("copies") / F.col("n")).alias("base"), (F.col("copies") % F.col("n")).alias("more"), parts.alias("parts")))
+
+    # of bins where some documents are taken once more: the part in which the last of those stands, and its place there
+    bin_ = ["key", "size"]
+    dealt = sized.join(plan.where("more > 0").select(*bin_, "more", "parts"), bin_).withColumn("part", F.pmod(F.xxhash64("doc_id", "sig"), F.col("parts")))
+    rows = scratch.write(dealt.groupBy(*bin_, "part", "more").agg(F.count("*").alias("rows")))
+    run = F.sum("rows").over(Window.partitionBy(*bin_).orderBy("part"))
+    at = rows.withColumn("before", run - F.col("rows")).where((F.col("before") < F.col("more")) & (F.col("more") <= F.col("before") + F.col("rows")))
+    at = scratch.write(at.select(*bin_, "part", (F.col("more") - F.col("before")).alias("rest")))
+    same = dealt.join(at, [*bin_, "part"]).groupBy(*bin_, "part", "doc_id", "sig", "rest").agg(F.count("*").alias("rows"))
+    run = F.sum("rows").over(Window.partitionBy(*bin_).orderBy(_place()))
+    cuts = same.withColumn("before", run - F.col("rows")).where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("rows")))
+    cuts = scratch.write(cuts.select(*bin_, _place().alias("cut"), F.col("rows").alias("cut_rows"), (F.col("rest") - F.col("before")).alias("cut_more")))
+    plan = scratch.write(plan.join(cuts, bin_, "left").join(targets.select("key", "source", "source_size", "target"), "key"))
+    return sized, targets, plan
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, size, sig) with their bin's plan and ``copies``; null copies for rows equal to a cut that splits them."""
+    held = plan.drop("source")
+    held = F.broadcast(held) if held.count() <= PLAN_ROWS else held
+    joined = rows.join(held, ["key", "size"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "sig"), F.col("parts")))
+    place, tied = _place(), F.col("cut_more") < F.col("cut_rows")
+    more = F.when(F.col("cut").isNull() | (place > F.col("cut")), 0).when((place < F.col("cut")) | ~tied, 1)
+    return joined.withColumn("copies", F.col("base") + more)
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken) for every document.
 
-    # per source: bins from the largest size on, each rounded to what the sum so far still lacks
-    rated = bins.where("size > 0").join(state, "key").select("key", "size", "n", _rate(limit).alias("rate"))
-    folded = rated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("bins"))
-    rounded = folded.select("key", F.inline(_rounded("bins", limit)))
-    plan = checkpoint(rounded.select("key", "size", "n", "rate", "copies"))
-
-    # the k-th document of a bin takes copies // n, and one more if k < copies % n
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).cast("int")
-    dealt = sized.withColumn("key", key).join(plan.withColumn("parts", parts), ["key", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)))
-    sizes = dealt.where("parts is not null").groupBy("key", "size", "part").agg(F.count("*").alias("rows"))
-    before = sizes.select("key", "size", "part", (F.sum("rows").over(Window.partitionBy("key", "size").orderBy("part")) - F.col("rows")).alias("before"))
-    ranked = dealt.where("size > 0").withColumn("k", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("doc_id")) - 1)
-    chosen = ranked.join(before, ["key", "size", "part"]).withColumn("one_more", (F.col("before") + F.col("k") < F.col("copies") % F.col("n")).cast("bigint"))
-    taken = chosen.select("key", "doc_id", "size", "rate", (F.floor(F.col("copies") / F.col("n")) + F.col("one_more")).alias("copies"))
-    every = taken.unionByName(dealt.where("size = 0").select("key", "doc_id", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies")))
-    facts = targets.select("key", "source", "source_size", "target")
-    return every.join(facts, "key").select("doc_id", *["source"] * carry_source, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    Null texts and texts of no words have size 0 and are taken 0 words; a null source is a
+    source of its own, last in order.  ``taken`` = copies * size; copies are the floor or
+    the ceiling of the rate, so at most ``limit`` (a whole number then).  Equal rows may
+    differ by one copy; which of several rows with equal (source, size) gets one more goes
+    by hashes of doc_id and text, so reruns agree.  Null doc_ids are like any other;
+    repeated rows count as that many documents; an empty table gives an empty table.
+    Raises ValueError for more than SOURCES sources.
+    """
+    sized, targets, plan = _plan(docs, doc_id, text, source, limit)
+    columns = ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
+    taken = _planned(sized.where("size > 0"), plan).where("copies is not null")
+    # rows that are equal to one another, of which some are taken once more, are told off from their number
+    equal = plan.where("cut_more < cut_rows").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("cut_rows"))))
+    equal = equal.select(F.col("cut.doc_id").alias("doc_id"), *columns[1:-1], (F.col("base") + (F.col("k") <= F.col("cut_more")).cast("int")).alias("copies"))
+    none = sized.where("size = 0").drop("source").join(targets, "key").withColumn("rate", F.lit(0.0)).withColumn("copies", F.lit(0).cast("bigint"))
+    every = taken.select(*columns).unionByName(equal).unionByName(none.select(*columns))
+    return every.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: float = 3.0) -> DataFrame:
     """The documents as the mix takes them: each row as often as its copies say, rows of none go.
 
-    Rows are told apart by (doc_id, source, size); several that agree in these are matched
-    with their copies in turn.
+    Documents stay where they are read, unless the plan is too large to broadcast.
     """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = dict(zip(docs.columns, plain.columns))
-    sized = plain.withColumn("size", word_count(at[text]))
-    same = [at[doc_id], at[source], "size"]
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(at[text])))
-    mixed = mix(docs, doc_id, text, source, limit, carry_source=True).where("copies > 0")
-    mixed = mixed.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "size", "copies")])
-    mixed = mixed.withColumn("m_turn", F.row_number().over(Window.partitionBy("m_doc_id", "m_source", "m_size").orderBy(F.desc("m_copies"))))
-    numbered = sized.withColumn("turn", turn)
-    match = (
-        F.col(at[doc_id]).eqNullSafe(F.col("m_doc_id")) & F.col(at[source]).eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("turn") == F.col("m_turn"))
-    )
-    taken = numbered.join(mixed, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m_copies"))))
+    _, _, plan = _plan(docs, doc_id, text, source, limit)
+    key = F.coalesce(F.concat(F.lit("s"), F.col(at[source]).cast("string")), F.lit("n"))
+    rows = plain.withColumns({"doc_id": F.col(at[doc_id]), "key": key, "size": word_count(at[text]), "sig": F.xxhash64(at[text])})
+    planned = _planned(rows.where("size > 0"), plan)
+    often = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), n))
+    taken = planned.where("copies > 0").withColumn("copy", often(F.col("copies"))).select(*plain.columns)
+    if not plan.where("cut_more < cut_rows").isEmpty():  # of equal rows: one, as often as all of them
+        one = planned.where("copies is null").groupBy("key", "size").agg(F.first(F.struct(*plain.columns)).alias("row"), F.first(F.col("cut_rows") * F.col("base") + F.col("cut_more")).alias("all"))
+        taken = taken.unionByName(one.where("all > 0").withColumn("copy", often(F.col("all"))).select("row.*"))
     return taken.select(*plain.columns).toDF(*docs.columns)
 
 
