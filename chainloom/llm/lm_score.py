@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from chainloom.llm.shared import SPACED, Words, as_binary, count_blocks, rolling, sql_name, with_blocks
+from chainloom.llm.shared import SPACED, Words, as_binary, rolling, sql_name, with_blocks, word_count
 from chainloom.llm.token_output import pack, unpack
 
 #: Bytes of text in a block, and n-grams (about) in a bucket.
@@ -117,17 +117,16 @@ class Level:
         edges = np.flatnonzero(np.diff(self.buckets, prepend=-1)).tolist()
         self.cuts = {int(self.buckets[s]): (s, e) for s, e in zip(edges, [*edges[1:], len(self.buckets)])}
 
-    def rows(self, block: int, words: int) -> pa.Table:
-        """Its n-grams by bucket, and one row (bucket -1) with the block's number of words."""
+    def rows(self, block: int) -> pa.Table:
+        """Its n-grams by bucket."""
         packed = [pack_counts(self.counts[s:e]) for s, e in self.cuts.values()]
         return pa.table(
             {
-                "bucket": pa.array([-1, *self.cuts], pa.int32()),
-                "block": pa.array([block] * (len(packed) + 1), pa.int32()),
-                "keys": pa.array([b"", *(pack_keys(self.keys[s:e]) for s, e in self.cuts.values())], pa.binary()),
-                "small": pa.array([b"", *(x[0] for x in packed)], pa.binary()),
-                "large": pa.array([b"", *(x[1] for x in packed)], pa.binary()),
-                "words": pa.array([words] + [0] * len(packed), pa.int64()),
+                "bucket": pa.array([*self.cuts], pa.int32()),
+                "block": pa.array([block] * len(packed), pa.int32()),
+                "keys": pa.array([pack_keys(self.keys[s:e]) for s, e in self.cuts.values()], pa.binary()),
+                "small": pa.array([x[0] for x in packed], pa.binary()),
+                "large": pa.array([x[1] for x in packed], pa.binary()),
             }
         )
 
@@ -185,16 +184,13 @@ class Block:
 def _add(table: pa.Table, level: int) -> pa.Table:
     """Sums of the counts that blocks sent to a bucket, for each of them."""
     bucket, block = table["bucket"][0].as_py(), table["block"].to_pylist()
-    if bucket < 0:  # one number from each block: the corpus's words
-        packed, words = [(b"", b"")] * len(block), sum(table["words"].to_pylist())
-    else:
-        keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
-        n = np.concatenate([unpack_counts(a, b, len(k)) for a, b, k in zip(table["small"].to_pylist(), table["large"].to_pylist(), keys)])
-        at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        # 1 and what other blocks have: mostly just that
-        total = np.bincount(back, n).astype(np.int64)[back] - n + 1  # exact below 2**53
-        packed, words = [pack_counts(total[a:b]) for a, b in zip(at[:-1], at[1:])], 0
+    keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
+    n = np.concatenate([unpack_counts(a, b, len(k)) for a, b, k in zip(table["small"].to_pylist(), table["large"].to_pylist(), keys)])
+    at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    _, back = np.unique(np.concatenate(keys), return_inverse=True)
+    # 1 and what other blocks have: mostly just that
+    total = np.bincount(back, n).astype(np.int64)[back] - n + 1  # exact below 2**53
+    packed = [pack_counts(total[a:b]) for a, b in zip(at[:-1], at[1:])]
     return pa.table(
         {
             "block": pa.array(block, pa.int32()),
@@ -202,13 +198,12 @@ def _add(table: pa.Table, level: int) -> pa.Table:
             "bucket": pa.array([bucket] * len(block), pa.int32()),
             "small": pa.array([x[0] for x in packed], pa.binary()),
             "large": pa.array([x[1] for x in packed], pa.binary()),
-            "words": pa.array([words] * len(block), pa.int64()),
         }
     )
 
 
-_SENT = "bucket int, block int, keys binary, small binary, large binary, words bigint"
-_SUMS = "block int, level int, bucket int, small binary, large binary, words bigint"
+_SENT = "bucket int, block int, keys binary, small binary, large binary"
+_SUMS = "block int, level int, bucket int, small binary, large binary"
 
 
 def score(docs: DataFrame, text: str = "text", order: int = 3, backoff: float = 0.4) -> DataFrame:
@@ -221,7 +216,8 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, backoff: float =
     Words and pairs are counted in one round, each longer n in a round of its own, which
     leaves out n-grams that can't occur elsewhere since a part of them doesn't.
     """
-    blocks = count_blocks(docs, text, BLOCK_BYTES)
+    facts = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum(word_count(text)).alias("words")).first()
+    blocks, corpus = max(16, -(-int(facts["bytes"] or 0) // BLOCK_BYTES)), facts["words"] or 0
     buckets = max(128, blocks * BLOCK_BYTES * 2 // (6 * BUCKET_GRAMS))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     body = plain.columns[docs.columns.index(text)]
@@ -229,30 +225,26 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, backoff: float =
     rows = with_blocks(rows, blocks, *rows.columns).withColumn("body", squeezed("body"))
     carried = [c for c in rows.columns if c not in ("body", "block")]
 
-    def heard(docs_: pa.Table, sums: pa.Table, last: int) -> tuple[Block, int]:
-        block, by_level, corpus = Block(_texts(docs_["body"]), buckets), {}, 0
+    def heard(docs_: pa.Table, sums: pa.Table, last: int) -> Block:
+        block, by_level = Block(_texts(docs_["body"]), buckets), {}
         for r in sums.to_pylist():
-            if r["bucket"] < 0:
-                corpus = max(corpus, r["words"])
-            else:
-                by_level.setdefault(r["level"], []).append(r)
+            by_level.setdefault(r["level"], []).append(r)
         for n in range(2, last + 1):
             block.hear(block.level(n), by_level.get(n, []))
-        return block, corpus
+        return block
 
     def send_first(table: pa.Table) -> pa.Table:
         block = Block(_texts(table["body"]), buckets)
-        return block.level(2).rows(table["block"][0].as_py(), len(block.words))
+        return block.level(2).rows(table["block"][0].as_py())
 
     def sender(n: int):
         def send(docs_: pa.Table, sums: pa.Table) -> pa.Table:
-            block, _ = heard(docs_, sums, n - 1)
-            return block.level(n).rows(docs_["block"][0].as_py(), 0)
+            return heard(docs_, sums, n - 1).level(n).rows(docs_["block"][0].as_py())
 
         return send
 
     def fuse(docs_: pa.Table, sums: pa.Table) -> pa.Table:
-        block, corpus = heard(docs_, sums, max(order, 2))
+        block = heard(docs_, sums, max(order, 2))
         n, logs = block.words.counts(), block.scores(corpus, order, backoff)
         out = docs_.select(carried)
         for name, column in (("n_words", pa.array(n, pa.int64())), ("log_score", pa.array(logs)), ("mean_log_score", pa.array(logs / np.maximum(n, 1), mask=n == 0))):
