@@ -1,9 +1,10 @@
 """Operator 8, benchmark decontamination: a broadcast hash set of the benchmark's word n-grams.
 
 The set is broadcast in pieces of a checked size.  A benchmark within one piece (the
-usual case) takes one narrow scan of the documents, with no shuffle.  A larger one is
-dealt into as many pieces as it needs, and each document batch is held against every
-piece, one at a time.  Hits are verified against the words themselves.
+usual case) takes one narrow scan of the documents, with no shuffle.  A larger one takes a
+pass of the documents for each piece, so that a task holds one piece at a time and builds
+its set once; what the passes before have found goes along in the shared folder.  Hits are
+verified against the words themselves.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from chainloom.llm.shared import ALNUM, Words, as_binary, covered, rolling, slices, sql_name, texts_of
+from chainloom.llm.shared import ALNUM, Scratch, Words, as_binary, covered, rolling, slices, sql_name, texts_of
 
 #: Bytes of benchmark text in one broadcast piece.
 PIECE_BYTES = 16 << 20
@@ -67,65 +69,79 @@ class Grams:
                         yield w, size, items
 
 
-def _pieces(benchmark: DataFrame, item: str, text: str, limit: int) -> list:
-    """Broadcasts of the benchmark's items, each of about ``limit`` bytes of text."""
-    spark = benchmark.sparkSession
-    plain = benchmark.select(F.col(item).alias("item"), as_binary(text).alias("body")).where("body is not null").distinct()
-    total = plain.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
-    n = -(-int(total) // limit) or 1
-    dealt = plain.withColumn("piece", F.pmod(F.xxhash64("item", "body"), F.lit(n)))
-    return [spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in dealt.where(F.col("piece") == i).collect()]) for i in range(n)]
+_FOUND = "struct<n_words bigint, items array<string>, marks array<array<bigint>>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """The documents with ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``spans`` of hit words.
+def _scan(items: list, window: int):
+    """Column function of a text: its number of words, and the items and (first word, size) of its hits on a piece."""
+    held: list[Grams] = []  # of this worker, built at its first batch
 
-    A null text has no words, nor does a null item; an item of fewer words than the
-    window is one window itself.  Repeated items count once.  An empty benchmark hits
-    nothing; an empty table gives an empty table.  All other columns stay.
-    """
-    pieces = _pieces(benchmark, item, item_text, piece_bytes)
-    built: dict[int, Grams] = {}
-
-    def grams(i: int) -> Grams:
-        if i not in built:
-            if len(pieces) > 1:
-                built.clear()
-            built[i] = Grams(pieces[i].value, window)
-        return built[i]
-
-    @F.arrow_udf("struct<n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>>")
+    @F.arrow_udf(_FOUND)
     def scan(column: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Grams(items.value, window))
         texts = texts_of(column)
-        counts, n_hit = [], []
-        items: list[set] = [set() for _ in texts]
+        counts: list[int] = []
+        names: list[set] = [set() for _ in texts]
         marks: list[list] = [[] for _ in texts]
-        cuts = list(slices(texts))
-        for i in range(len(pieces)):
-            g = grams(i)
-            for a, b in cuts:
-                words = Words(texts[a:b], ALNUM, lower=True)
-                if i == 0:
-                    counts += words.counts().tolist()
-                for w, size, found in g.hits(words):
-                    d = int(np.searchsorted(words.first, w, side="right")) - 1
-                    marks[a + d].append((w - int(words.first[d]), size))
-                    items[a + d] |= found
-        spans = []
-        for n, m in zip(counts, marks):
-            at = np.array(m, dtype=np.int64).reshape(-1, 2)
-            hit = covered(n, at[:, 0], at[:, 1]) if m else np.zeros(0, dtype=bool)
-            n_hit.append(int(hit.sum()))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            spans.append([[int(x), int(y)] for x, y in zip(edge[0::2], edge[1::2])])
+        for a, b in slices(texts):
+            words = Words(texts[a:b], ALNUM, lower=True)
+            counts += words.counts().tolist()
+            for w, size, found in held[0].hits(words):
+                d = int(np.searchsorted(words.first, w, side="right")) - 1
+                marks[a + d].append([w - int(words.first[d]), size])
+                names[a + d] |= found
         return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(map(str, s)) for s in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-            ["n_words", "n_hit", "items", "spans"],
+            [pa.array(counts, pa.int64()), pa.array([sorted(map(str, s)) for s in names], pa.list_(pa.string())), pa.array(marks, pa.list_(pa.list_(pa.int64())))], ["n_words", "items", "marks"]
         )
 
-    found = sql_name(docs, "found")
-    out = docs.withColumn(found, scan(as_binary(text)))
-    return out.select(*docs.columns, *[F.col(f"{found}.{c}").alias(sql_name(docs, c)) for c in ("n_words", "n_hit", "items", "spans")])
+    return scan
+
+
+@F.arrow_udf(returnType=ArrayType(ArrayType(LongType())))
+def _spans(counts: pa.Array, marks: pa.Array) -> pa.Array:
+    """Maximal runs of hit words, as [first word, last word + 1)."""
+    out = []
+    for n, m in zip(counts.to_pylist(), marks.to_pylist()):
+        at = np.array(m, dtype=np.int64).reshape(-1, 2)
+        hit = covered(n, at[:, 0], at[:, 1]) if m else np.zeros(0, dtype=bool)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        out.append([[int(x), int(y)] for x, y in zip(edge[0::2], edge[1::2])])
+    return pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The documents with ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``spans`` of hit words.
+
+    A null text has no words, nor does a null item; an item of fewer words than the
+    window is one window itself.  Repeated items count once.  An empty benchmark hits
+    nothing; an empty table gives an empty table.  All other columns stay.
+    """
+    spark = docs.sparkSession
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = plain.columns[docs.columns.index(text)]
+    wanted = benchmark.select(F.col(item).alias("item"), as_binary(item_text).alias("body")).where("body is not null").distinct()
+    total = wanted.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    pieces = -(-int(total) // piece_bytes) or 1
+    dealt = wanted.withColumn("piece", F.pmod(F.xxhash64("item", "body"), F.lit(pieces)))
+    scratch, before = Scratch(spark, "contamination"), None
+    for k in range(pieces):
+        # about piece_bytes of items; the driver holds one piece at a time
+        items = spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in dealt.where(F.col("piece") == k).collect()])
+        found = plain.withColumn("now", _scan(items, window)(as_binary(body)))
+        if before is not None:
+            both = lambda c: F.concat(f"found.{c}", f"now.{c}").alias(c)
+            found = found.select("*", F.struct("now.n_words", both("items"), both("marks")).alias("all")).drop("found", "now")
+        plain = found.withColumnRenamed("now" if before is None else "all", "found")
+        if k < pieces - 1:
+            last, plain = before, scratch.write(plain)
+            if last is not None:
+                scratch.remove(last)
+            before = plain
+    done = plain.withColumn("spans", _spans("found.n_words", "found.marks"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    new = {"n_words": F.col("found.n_words"), "n_hit": n_hit, "items": F.array_sort(F.array_distinct("found.items")), "spans": F.col("spans")}
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *[v.alias(sql_name(docs, c)) for c, v in new.items()])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", how: str = "documents", **options) -> DataFrame:

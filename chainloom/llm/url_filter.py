@@ -13,7 +13,8 @@ pattern spells out completely; it is filed under the one that is rarest in the u
 their regular expressions.  Rules without such a token are candidates for every url.
 
 Rules up to ``RULE_BYTES`` are held by every task, so urls are judged where they are
-read, with no shuffle.  More rules are dealt into pieces of that size, held one after another.
+read, with no shuffle.  More rules take a pass for each piece of that size; the best rule of
+the passes before goes along in the shared folder.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.shared import sql_name
+from chainloom.llm.shared import Scratch, sql_name
 
 #: Bytes of patterns that a task holds at once.
 RULE_BYTES = 8 << 20
+#: Tokens of rules that are broadcast, at most, to be counted in the urls.
+TOKENS = 1_000_000
 _TOKEN = re.compile("[0-9a-z]+")
 
 
@@ -111,7 +114,8 @@ def token_counts(urls: DataFrame, url: str, tokens: set[str]) -> dict[str, int]:
     spark = urls.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
     split = urls.select(F.explode(F.array_distinct(F.split(F.lower(F.col(url)), "[^0-9a-z]+"))).alias("token"))
-    return {r["token"]: r["n"] for r in split.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    held = F.broadcast(wanted) if len(tokens) <= TOKENS else wanted
+    return {r["token"]: r["n"] for r in split.join(held, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", rule_bytes: int = RULE_BYTES) -> DataFrame:
@@ -131,40 +135,50 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default:
             room = rule_bytes
         pieces[-1].append(r)
         room -= len(r.pattern)
-    held = [pages.sparkSession.sparkContext.broadcast((p, {t: n for r in p for t in literal_tokens(r.pattern) if (n := seen.get(t))})) for p in pieces]
-    built: dict[int, Index] = {}
-
-    def index(i: int) -> Index:
-        if i not in built:
-            if len(held) > 1:
-                built.clear()
-            built[i] = Index(*held[i].value)
-        return built[i]
-
-    @F.arrow_udf("struct<host string, path string, rule string, verdict string>")
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
+    plain = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+    body = plain.columns[pages.columns.index(url)]
+    for k, piece in enumerate(pieces):
+        counts = {t: seen[t] for r in piece for t in literal_tokens(r.pattern) if t in seen}
+        plain = plain.withColumn("now", _judge(spark.sparkContext.broadcast((piece, counts)))(F.col(body).cast("string")))
+        if k:  # a rule goes before another by rank, then length, then name
+            old, new = F.col("best"), F.col("now")
+            ahead = lambda x: F.struct(x["rank"], x["length"])
+            wins = old["name"].isNull() | (ahead(new) > ahead(old)) | ((ahead(new) == ahead(old)) & (new["name"] < old["name"]))
+            plain = plain.withColumn("best", F.when(new["name"].isNotNull() & wins, new).otherwise(old)).drop("now")
+        else:
+            plain = plain.withColumnRenamed("now", "best")
+        if k < len(pieces) - 1:
+            plain = scratch.write(plain)
+    found = lambda c: F.coalesce("best.verdict", F.lit(default)) if c == "verdict" else F.col(f"best.{c}")
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(pages.columns)], *[found(c).alias(sql_name(pages, c)) for c in ("host", "path", "rule", "verdict")])
+
+
+def _judge(held):
+    """Column function of a url: its host and path, and the best rule of a piece."""
+    built: list[Index] = []  # of this worker, at its first batch
+
+    @F.arrow_udf("struct<host string, path string, rule string, verdict string, rank int, length int, name string>")
     def judge(column: pa.Array) -> pa.Array:
+        if not built:
+            built.append(Index(*held.value))
         split = [split_url(u) for u in column.to_pylist()]
-        texts = ["".join(s) for s in split]
-        tokens = [set(_TOKEN.findall(t.lower())) for t in texts]
-        best: list = [None] * len(texts)
-        for i in range(len(held)):
-            ix = index(i)
-            for k, (text, own) in enumerate(zip(texts, tokens)):
-                if text and (e := ix.best(text, own)) and (best[k] is None or better(e, best[k])):
-                    best[k] = e
+        best = [built[0].best(t, set(_TOKEN.findall(t.lower()))) if (t := "".join(s)) else None for s in split]
+        of = lambda f, kind: pa.array([f(e) if e else None for e in best], kind)
         return pa.StructArray.from_arrays(
             [
                 pa.array([s[0] for s in split], pa.string()),
                 pa.array([s[1] for s in split], pa.string()),
-                pa.array([e[3].name if e else None for e in best], pa.string()),
-                pa.array([e[3].verdict if e else default for e in best], pa.string()),
+                of(lambda e: e[3].name, pa.string()),
+                of(lambda e: e[3].verdict, pa.string()),
+                of(lambda e: e[0], pa.int32()),
+                of(lambda e: e[1], pa.int32()),
+                of(lambda e: e[2], pa.string()),
             ],
-            ["host", "path", "rule", "verdict"],
+            ["host", "path", "rule", "verdict", "rank", "length", "name"],
         )
 
-    name = sql_name(pages, "judged")
-    out = pages.withColumn(name, judge(F.col(url).cast("string")))
-    return out.select(*pages.columns, *[F.col(f"{name}.{c}").alias(sql_name(pages, c)) for c in ("host", "path", "rule", "verdict")])
+    return judge
 
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
