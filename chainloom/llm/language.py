@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.shared import as_binary, byte_table, checkpoint, slices, sql_name, texts_of
+from chainloom.llm.shared import Scratch, as_binary, byte_table, checkpoint, slices, sql_name, texts_of
 
 #: Documents per language that models are fitted to, languages at most, and buckets of hashed trigrams.
 SAMPLE, LANGUAGES, BUCKETS = 1500, 200, 1 << 14
@@ -163,8 +163,11 @@ def identify(pages: DataFrame, model: Model, url: str = "url", html: str = "html
     priors = tops.select(F.col("h").alias("prior_h"), F.array(*[F.log(p) for p in prior(tops, [F.col(f"pd{k}") for k in range(n)])]).alias("prior_logs"))
 
     prior_h, prior_logs = sql_name(heard, "prior_h"), sql_name(heard, "prior_logs")
-    priors = priors.toDF(prior_h, prior_logs)
-    fused = heard.join(priors, heard[names["host"]] == priors[prior_h], "left")
+    priors = Scratch(spark, "priors").write(priors.toDF(prior_h, prior_logs))  # both sides stand by themselves, so a hot host can be split
+    named = F.col(names["host"]).isNotNull()
+    fused = heard.where(named).join(priors, heard[names["host"]] == priors[prior_h])
+    nowhere = heard.where(~named).withColumns({prior_h: F.lit(None).cast("string"), prior_logs: F.lit(None).cast("array<double>")})
+    fused = fused.unionByName(nowhere)
     everywhere = F.array(*[F.lit(float(np.log(b))) for b in base])
     final = sql_name(fused, "posterior")
     fused = fused.withColumn(final, _softmax(add(F.col(logs), F.coalesce(F.col(prior_logs), everywhere))))

@@ -126,11 +126,11 @@ def fit_ordinal(whose: np.ndarray, bucket: np.ndarray, dense: np.ndarray, grade:
 def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> Model:
     """Fit to at most ``sample`` documents of each grade, chosen by a hash of the id.
 
-    Rows with a null id or grade don't count.  With fewer than two grades every document
+    Rows with a null id or grade don't count; a document of several ratings has the lowest.  With fewer than two grades every document
     gets the probability 1/2 or, with one, that grade.  Raises ValueError if there are more
     than GRADES grades.
     """
-    clean = ratings.select(F.col(doc_id).alias("rated"), F.col(grade).cast("int").alias("rating")).where("rated is not null and rating is not null").dropDuplicates(["rated"])
+    clean = ratings.select(F.col(doc_id).alias("rated"), F.col(grade).cast("int").alias("rating")).where("rated is not null and rating is not null").groupBy("rated").agg(F.min("rating").alias("rating"))
     grades = sorted(r["rating"] for r in clean.select("rating").distinct().limit(GRADES + 1).collect())
     if len(grades) > GRADES:
         raise ValueError(f"there are more than {GRADES} grades")
