@@ -9,10 +9,11 @@ of either.  Two that differ in fewer than ``blocks * (within + 1)`` bits have su
 Farther pairs meet by chance only, so wide fingerprints are cut into blocks several times
 over (``arrangements``), with their bits in another order each time.
 
-Equal fingerprints are one class before any of this.  At each anchor all classes are held
-against one of them, its pivot; that joins groups of near copies in steps that grow with
-the number of classes.  Only anchors where several groups meet are then compared class by
-class, in tiles if they are hot, and only classes of different groups.
+Equal fingerprints are one class before any of this.  Groups of many near copies are found
+first, by one comparison of each class.  Where classes of different groups meet at an
+anchor, one of them, the pivot, is held against those of other groups; those that stay in
+another group are then held against all classes of the anchor, in tiles if it is hot.  So
+work grows with the number of classes, and what links have joined isn't compared again.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.components import connected_components
-from chainloom.llm.shared import SPACED, Words, as_binary, bits_set, checkpoint, local_components, mix, slices, sql_name, texts_of
+from chainloom.llm.shared import SPACED, Scratch, Words, as_binary, bits_set, local_components, mix, slices, texts_of
 
 #: Classes of one tile at a hot anchor.
 TILE = 1024
@@ -126,13 +127,14 @@ def blocks_of(fp: np.ndarray, arrangements: int):
         yield from np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u4").T
 
 
-def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangements: int) -> DataFrame:
-    """Links (a, b) between class ids that join all classes within ``distance`` bits found at the anchors."""
+def _deal(classes: DataFrame, lanes: int, within: int, arrangements: int, carried: list[str], count: int) -> DataFrame:
+    """(anchor, home, and the carried bigint columns) of every one of ``count`` classes at its anchors; a task deals DEALT rows, about."""
+    rows = count * 2 * lanes * arrangements * (18 if within else 1)
 
     def deal(batches):
         for batch in (whole.slice(s, CHUNK) for whole in batches for s in range(0, whole.num_rows, CHUNK)):
             fp = _unpacked(batch["fp"].to_pylist(), lanes)
-            cls = batch["cls"].to_numpy()
+            columns = [batch[c].to_numpy() for c in carried]
             for k, block in enumerate(blocks_of(fp, arrangements)):
                 anchor = home = homes(block)
                 who = np.arange(len(home))
@@ -140,60 +142,93 @@ def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangeme
                     other, near = replicas(block)
                     away = near != home[other]
                     anchor, who = np.concatenate([home, near[away]]), np.concatenate([who, other[away]])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64) | (k << 32)), pa.array(cls[who]), pa.array(np.arange(len(who)) < len(home))], ["anchor", "cls", "home"])
+                made = [pa.array(anchor.astype(np.int64) | (k << 32)), *(pa.array(c[who]) for c in columns)]
+                if within:
+                    made.append(pa.array(np.arange(len(who)) < len(home)))
+                yield pa.RecordBatch.from_arrays(made, ["anchor", *carried, "home"][: len(made)])
 
-    dealt = classes.mapInArrow(deal, "anchor bigint, cls bigint, home boolean")
-    # anchors that are home to a class and meet another one; the pivot is one of those at home
-    anchors = (
-        dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"), F.min(F.when(F.col("home"), F.col("cls"))).alias("pivot")).where("homes > 0 and n > 1")
-    )
-    met = checkpoint(dealt.join(anchors, "anchor"))
+    schema = ", ".join(f"{c} bigint" for c in ("anchor", *carried))
+    return classes.select(*carried, "fp").repartition(max(1, -(-rows // DEALT)), "cls").mapInArrow(deal, schema + ", home boolean" * bool(within))
+
+
+def _near(pairs: DataFrame, classes: DataFrame, lanes: int, distance: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes within ``distance`` bits."""
 
     @F.arrow_udf("int")
     def bits_apart(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64) for c in (a, b))
         return pa.array(bits_set(x ^ y).reshape(-1, lanes).sum(axis=1), pa.int32())
 
-    pairs = met.where("cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    shown = pairs.join(classes.select(F.col("cls").alias("b"), F.col("fp").alias("fp_b")), "b").join(classes.select(F.col("cls").alias("a"), F.col("fp").alias("fp_a")), "a")
-    stars = checkpoint(shown.where(bits_apart("fp_a", "fp_b") <= distance).select("a", "b"))
+    of = lambda c: classes.select(F.col("cls").alias(c), F.col("fp").alias(f"fp_{c}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(bits_apart("fp_a", "fp_b") <= distance).select("a", "b")
+
 
-    # two classes at an anchor are settled by now; of more, those anchors are left where several groups meet
-    groups = connected_components(stars, "a", "b").select(F.col("node").alias("cls"), "component")
-    named = met.where("n > 2").join(groups, "cls", "left").select("anchor", "cls", "home", "n", "homes", F.coalesce("component", "cls").alias("grp"))
-    mixed = named.groupBy("anchor").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least != most").select("anchor")
+def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangements: int) -> DataFrame:
+    """Links (a, b) between class ids that join all classes within ``distance`` bits found at the anchors."""
+    scratch, count = Scratch(classes.sparkSession, "anchors"), classes.count()
+    pair = lambda low, high: [F.col(low).alias("a"), F.col(high).alias("b")]
+
+    # Groups of many near copies first: of the pivots at the home anchors of one arrangement, each class is held against
+    # the one that it meets most often.
+    dealt = _deal(classes, lanes, 0, 1, ["cls"], count)
+    pivots = scratch.write(dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).where("n > 1").select("anchor", "pivot"))
+    often = dealt.join(pivots, "anchor").where("cls != pivot").groupBy("cls", "pivot").agg(F.count("*").alias("n"))
+    best = scratch.write(often.groupBy("cls").agg(F.max(F.struct("n", "pivot")).alias("best")).select(*pair("best.pivot", "cls")))
+    first = scratch.write(_near(best, classes, lanes, distance))
+    groups = scratch.write(connected_components(first, "a", "b"))
+    grouped = scratch.write(classes.join(groups, classes.cls == groups.node, "left").select("cls", "fp", F.coalesce("component", "cls").alias("grp")))
+
+    # Then all anchors where groups meet: their pivot, one of those at home, against the classes of other groups.
+    dealt = _deal(grouped, lanes, within, arrangements, ["cls", "grp"], count)
+    home = F.col("home") if within else F.lit(True)
+    counted = dealt.groupBy("anchor").agg(
+        F.count("*").alias("n"), F.min(F.when(home, F.col("cls"))).alias("pivot"), F.min_by("grp", F.when(home, F.col("cls"))).alias("pivot_grp"), F.min("grp").alias("least"), F.max("grp").alias("most")
+    )
+    anchors = scratch.write(counted.where("least != most and pivot is not null").select("anchor", "n", "pivot", "pivot_grp"))
+    met = scratch.write(dealt.join(anchors, "anchor").select("anchor", "cls", home.alias("home"), "pivot", "n", (F.col("grp") != F.col("pivot_grp")).alias("apart")))
+    away = met.where("apart")
+    pairs = scratch.write(away.select(*pair("pivot", "cls")).distinct())
+    stars = scratch.write(_near(pairs, classes, lanes, distance).unionByName(first))
+
+    # Classes that aren't in their pivot's group by now are open: they are held against all classes of the anchor.
+    groups = scratch.write(connected_components(stars, "a", "b"))
+    group = lambda c, name: groups.select(F.col("node").alias(c), F.col("component").alias(name))
+    away_ = away.where("n > 2").join(group("cls", "grp"), "cls", "left").join(group("pivot", "pivot_grp"), "pivot", "left")
+    is_open = scratch.write(away_.where(F.coalesce("grp", "cls") != F.coalesce("pivot_grp", "pivot")).select("anchor", "cls"))
+    sizes = is_open.groupBy("anchor").agg(F.count("*").alias("n_open")).join(anchors, "anchor")
     parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    left = checkpoint(named.join(mixed, "anchor").select("anchor", "cls", "home", "grp", parts("homes").alias("rows"), parts("n").alias("cols"), (F.col("homes") == F.col("n")).alias("alike")))
+    sizes = scratch.write(sizes.select("anchor", parts("n_open").alias("rows"), parts("n").alias("cols")))
+    members = met.join(sizes, "anchor").select("anchor", "cls", "home", "rows", "cols")
+    flags = is_open.select("anchor", "cls", F.lit(True).alias("open"))
+    left = scratch.write(members.join(group("cls", "grp"), "cls", "left").join(flags, ["anchor", "cls"], "left").select("anchor", "cls", "home", F.coalesce("grp", "cls").alias("grp"), F.coalesce("open", F.lit(False)).alias("open"), "rows", "cols"))
+    scratch.remove(pivots, best, met, pairs)
 
-    # classes at home in rows of tiles, all classes in columns; if all are at home, half the tiles will do
+    # open classes in rows of tiles, all classes in columns; where one column holds all, its open classes are the row
     tile = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    in_rows = left.where("home").withColumn("i", tile("rows"))
-    in_cols = left.withColumn("j", tile("cols"))
-    tiled = in_rows.select("anchor", "cls", "grp", F.lit(True).alias("row"), "i", F.explode(F.sequence(F.when(F.col("alike"), F.col("i")).otherwise(0), F.col("cols") - 1)).alias("j")).unionByName(
-        in_cols.select("anchor", "cls", "grp", F.lit(False).alias("row"), F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), F.col("j")).otherwise(F.col("rows") - 1))).alias("i"), "j")
-    )
-    entry = F.struct("cls", "grp", "fp")
-    tiles = (
-        tiled.join(classes, "cls")
-        .groupBy("anchor", "i", "j")
-        .agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.collect_list(F.when(F.col("row"), entry)).alias("rows"), F.collect_list(F.when(~F.col("row"), entry)).alias("cols"))
-        .where("least != most")
-    )
+    in_cols = left.withColumn("j", tile("cols")).select("anchor", "cls", "grp", "home", "open", F.lit(False).alias("row"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), "j")
+    in_rows = left.where("open and cols > 1").withColumn("i", tile("rows")).select("anchor", "cls", "grp", "home", "open", F.lit(True).alias("row"), "i", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    entry = F.struct("cls", "grp", "home", "open", "row", "fp")
+    tiles = in_cols.unionByName(in_rows).join(classes, "cls").groupBy("anchor", "i", "j").agg(F.collect_list(entry).alias("entries"))
 
     def compare(batches):
         for batch in batches:
             a_out, b_out = [], []
-            for rows, cols in zip(batch["rows"].to_pylist(), batch["cols"].to_pylist()):
-                every = rows + cols
-                ids, at, back = np.unique(np.array([x["cls"] for x in every], dtype=np.int64), return_index=True, return_inverse=True)
-                fp = _unpacked([x["fp"] for x in every], lanes)[at]
-                _, least, own = np.unique(np.array([x["grp"] for x in every], dtype=np.int64)[at], return_index=True, return_inverse=True)
+            for every in batch["entries"].to_pylist():
+                held = [x for x in every if not x["row"]]
+                rows = [x for x in every if x["row"]] or [x for x in held if x["open"]]
+                if not rows or not held:
+                    continue
+                ids, at, back = np.unique(np.array([x["cls"] for x in held + rows], dtype=np.int64), return_index=True, return_inverse=True)
+                both = held + rows
+                fp = _unpacked([both[k]["fp"] for k in at], lanes)
+                at_home = np.array([both[k]["home"] for k in at])
+                _, least, own = np.unique(np.array([both[k]["grp"] for k in at], dtype=np.int64), return_index=True, return_inverse=True)
                 label = before = least[own]
-                h, r = back[: len(rows)], back[len(rows) :]
-                for begin in range(0, len(h), 256):
-                    part = h[begin : begin + 256]
-                    x, y = np.nonzero(label[part][:, None] != label[r][None, :])
-                    x, y = part[x], r[y]
+                c, r = back[: len(held)], back[len(held) :]
+                for begin in range(0, len(r), 256):
+                    part = r[begin : begin + 256]
+                    x, y = np.nonzero((label[part][:, None] != label[c][None, :]) & (at_home[part][:, None] | at_home[c][None, :]))
+                    x, y = part[x], c[y]
                     apart = np.zeros(len(x), dtype=np.int32)
                     for lane in range(lanes):
                         apart += bits_set(fp[x, lane] ^ fp[y, lane])
@@ -208,7 +243,7 @@ def _links(classes: DataFrame, lanes: int, distance: int, within: int, arrangeme
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
-    return stars.unionByName(tiles.select("rows", "cols").mapInArrow(compare, "a bigint, b bigint"))
+    return stars.unionByName(tiles.select("entries").mapInArrow(compare, "a bigint, b bigint"))
 
 
 def with_fingerprints(docs: DataFrame, text: str, size: int, lanes: int, name: str, distinct: bool = False) -> DataFrame:
@@ -219,8 +254,23 @@ def with_fingerprints(docs: DataFrame, text: str, size: int, lanes: int, name: s
     return docs.withColumn(name, fingerprint(as_binary(text)))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, size: int, bits: int, distance: int, within: int, arrangements: int, distinct: bool) -> tuple[DataFrame, DataFrame]:
+    """Prints (doc_id, sig, fp, cls) of all rows, and the group of each class; ``sig`` is a hash of the whole text."""
+    lanes = bits // 64
+    scratch = Scratch(docs.sparkSession, "prints")
+    body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"))
+    prints = with_fingerprints(body.withColumn("sig", F.xxhash64("body")), "body", size, lanes, "fp", distinct).drop("body")
+    # a class is the documents of one fingerprint; its number is the fingerprint, or a hash of a longer one
+    number = F.conv(F.hex("fp"), 16, -10).cast("bigint") if lanes == 1 else F.xxhash64("fp")
+    prints = scratch.write(prints.withColumn("cls", number))
+    classes = scratch.write(prints.select("cls", "fp").distinct())
+    found = connected_components(_links(classes, lanes, distance, within, arrangements), "a", "b")
+    named = classes.join(found, classes.cls == found.node, "left").select("cls", F.coalesce("component", "cls").alias("group"))
+    return prints, scratch.write(named)
+
+
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 2048, distance: int = 320, within: int = 0, arrangements: int = 3, distinct: bool = True
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 2048, distance: int = 330, within: int = 0, arrangements: int = 3, distinct: bool = True
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every document; fp is its fingerprint (binary, big-endian words).
 
@@ -228,32 +278,51 @@ def near_duplicates(
     doc_id that links reach.  Pairs of fewer than ``blocks * (within + 1)`` bits (blocks =
     bits / 32) are found with certainty (3 of 64 with ``within`` 1).  Farther pairs are
     found if they meet at an anchor of one of ``arrangements`` cuts into blocks.  With words
-    of ``size`` 5, each shingle of a text counted once, 320 of 2048 bits stand for a
-    similarity of 0.8 (within about 0.02); with three cuts such pairs meet with a
-    probability of 0.9, those of 0.85 with 0.99, and more similar ones nearly always.
+    of ``size`` 5, each shingle of a text counted once, 310 of 2048 bits stand for a
+    similarity of 0.8, with a standard deviation of 16 bits; 330 lets 9 of 10 pairs of just
+    that similarity pass, and half of those of 0.77.  With three cuts such pairs meet with a
+    probability of 0.9, those of 0.85 nearly always.
     Texts of no words (null too) share fingerprint zero and link like any other; a null
     doc_id links no one but takes its class's component.  Repeated rows give repeated
     rows; an empty table an empty one.
     """
-    lanes = bits // 64
-    prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")), "body", size, lanes, "fp", distinct).drop("body")
-    prints = checkpoint(prints)
-    # a class is the documents of one fingerprint; its number is the fingerprint, or a hash of a longer one
-    number = F.conv(F.hex("fp"), 16, -10).cast("bigint") if lanes == 1 else F.xxhash64("fp")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cls", number)
-    rows = prints.count() * 2 * lanes * arrangements * (18 if within else 1)
-    classes = checkpoint(classes.repartition(max(1, -(-rows // DEALT)), "cls"))
-    found = connected_components(_links(classes.select("cls", "fp"), lanes, distance, within, arrangements), "a", "b")
-    named = checkpoint(classes.join(found, classes.cls == found.node, "left").select("fp", "least", F.coalesce("component", "cls").alias("group")))
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest doc_id stays (null ids stay too)."""
-    found = near_duplicates(docs, doc_id=doc_id, **options)
-    extra = found.where("doc_id != component_id").select(F.col("doc_id").alias(sql_name(docs, "gone"))).distinct()
-    return docs.join(extra, docs[doc_id] == extra[extra.columns[0]], "left_anti")
+    prints, named = _grouped(docs, doc_id, text, size, bits, distance, within, arrangements, distinct)
+    scratch = Scratch(docs.sparkSession, "least")
+    lows = scratch.write(prints.groupBy("cls").agg(F.min("doc_id").alias("low")))
+    lows = scratch.write(lows.join(named, "cls"))
+    least = scratch.write(lows.groupBy("group").agg(F.min("low").alias("component_id")))
+    return prints.join(scratch.write(lows.join(least, "group").select("cls", "component_id")), "cls").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, bits: int = 2048, distance: int = 330, within: int = 0, arrangements: int = 3, distinct: bool = True
+) -> DataFrame:
+    """The documents without near copies: of each group one row stays, that of the smallest doc_id.
+
+    Null doc_ids come last; among rows of one doc_id that of the smallest hash of its text
+    stays.  Of rows that agree in both, one stays.
+    """
+    prints, named = _grouped(docs, doc_id, text, size, bits, distance, within, arrangements, distinct)
+    scratch = Scratch(docs.sparkSession, "kept")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
+    # the least key of each class, then of each group: both with partial results before their shuffle
+    own = scratch.write(prints.groupBy("cls").agg(F.min(key).alias("key"), F.count("*").alias("rows")))
+    own = scratch.write(own.join(named, "cls"))
+    best = scratch.write(own.groupBy("group").agg(F.min("key").alias("best"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows"))
+    many = scratch.write(own.join(best, "group").select("cls", "best"))
+    copies = prints.join(many, "cls").select("best", key.alias("key"))
+    gone = scratch.write(copies.where("key != best").select("key.doc_id", "key.sig").distinct())
+    twice = scratch.write(copies.where("key = best").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key.doc_id", "key.sig"))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = dict(zip(docs.columns, plain.columns))
+    plain = plain.withColumn("sig", F.xxhash64(at[text]))
+    same = lambda t: F.col(at[doc_id]).cast("bigint").eqNullSafe(t["doc_id"]) & (plain["sig"] == t["sig"])
+    kept = plain.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():  # rows repeated whole: one of each, picked with partial results before the shuffle
+        one = kept.join(twice, same(twice), "left_semi").groupBy(at[doc_id], "sig").agg(F.first(F.struct(*at.values())).alias("row"))
+        kept = kept.join(twice, same(twice), "left_anti").select(*at.values()).unionByName(one.select("row.*"))
+    return kept.select(*at.values()).toDF(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

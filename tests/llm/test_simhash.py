@@ -109,4 +109,60 @@ def test_nulls_and_empty(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(None, 3), (3, 3), (None, None), (4, 4)}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.keep_one(docs.withColumn("gone", docs.doc_id)).count() == 4
+    kept = simhash.keep_one(docs.withColumn("gone", docs.doc_id).withColumn("sig", docs.doc_id))
+    assert kept.columns == ["doc_id", "text", "gone", "sig"]
+    assert sorted((r.doc_id is None, r.text or "") for r in kept.collect()) == [(False, ""), (False, "a b c"), (True, "q r s t")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, long)] * 4 + [(5, "quite another text of its own"), (6, long), (None, long), (None, "alone by itself is this")] + [(None, "twice and nobody's")] * 2
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = [(5, long), (5, "quite another text of its own"), (None, "alone by itself is this"), (None, "twice and nobody's")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def planted(n):
+    """Pairs of documents with some words replaced, and the similarity of each pair's five-word shingles."""
+    rng, rows, similar = random.Random(8), [], []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for i in range(n):
+        base = [word() for _ in range(rng.randrange(150, 500))]
+        copy = list(base)
+        for k in rng.sample(range(len(base)), max(1, int(len(base) * rng.choice([0.004, 0.01, 0.015, 0.02, 0.022, 0.05])))):
+            copy[k] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        similar.append(jaccard(base, copy))
+    return rows, similar
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_by_band_of_similarity(spark):
+    rows, similar = planted(800)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[d] in (d, d - d % 2) for d, _ in rows)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        band = [i for i, s in enumerate(similar) if low <= s < high]
+        found = sum(got[2 * i + 1] == 2 * i for i in band)
+        assert len(band) >= 40 and found >= 0.9 * len(band), (low, high, found, len(band))
+    far = [i for i, s in enumerate(similar) if s < 0.72]
+    assert far and not any(got[2 * i + 1] == 2 * i for i in far)
+
+
+def test_recall_on_the_documents(spark):
+    """All pairs of 0.8 or more of a whole test table, found by brute force over shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: brute.SPACED.findall(brute.lower(r.text)) for r in docs.collect()}
+    holders = {}
+    for d, w in words.items():
+        for k in range(max(1, len(w) - 4)):
+            holders.setdefault(tuple(w[k : k + 5]), set()).add(d)
+    pairs = {(a, b) for have in holders.values() if len(have) > 1 for a in have for b in have if a < b}
+    similar = [(a, b) for a, b in pairs if jaccard(words[a], words[b]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(similar) >= 5 and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)
